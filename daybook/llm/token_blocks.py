@@ -29,6 +29,7 @@ the text are ignored.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -43,8 +44,7 @@ MAGIC = b"PFOR0001"
 BLOCK = 128
 PERCENTILE = 0.9
 FILE_IDS = 1 << 21
-MEMO_WORDS = 400_000
-JOINED = 2_000
+MEMO_WORDS = 800_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[np.ndarray, ...]:
@@ -120,12 +120,25 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, in
     return ids, got[9].astype(np.int64), unpack(n, *got[:7]), first
 
 
-class Encoder:
+#: The split pattern over printable text below U+0250 without the numbers of ODD, in lower case.
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[\W_]+")
+PLAIN_END = "\u0250"
+ODD = re.compile("[\xb2\xb3\xb9\xbc-\xbe]")
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+BYTE_CHARS = {b: b for b in _SELF} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_SELF))}
+
+
+class Encoder(dict):
     """Texts to ids by the tokenizers library.
 
     Where the tokenizer drops white space and splits at it, a text's ids are the ids
-    of its words in turn; each distinct word then goes through the library once a
-    worker (a bounded memo, emptied when full). Other tokenizers get whole texts.
+    of its words in turn; each distinct word then goes through the library's
+    normalizer, splitter and model once a worker (this dictionary, from a word to its
+    packed ids, is bounded and emptied when full). For printable text below U+0250 the
+    normalizer only lowers letters, and the split is that of ``PLAIN_PIECES``, so the
+    pieces of such words go straight to the model. Words that hold a special token's opening, and all texts of other
+    tokenizers, are encoded by the library in one call.
     """
 
     def __init__(self, path: str):
@@ -134,34 +147,43 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         with open(path) as f:
             config = json.load(f)
-        # A special token between words marks where each one's ids end.
-        marks = [t for t in config.get("added_tokens", []) if t["special"] and not t["normalized"]]
-        self.by_word = bool(marks) and splits_at_space(config)
-        self.mark, self.mark_id = (marks[0]["content"], marks[0]["id"]) if marks else ("", -1)
-        self.memo: dict[bytes, bytes] = {}
+        self.by_word = splits_at_space(config)
+        special = [re.escape(t["content"].encode()) for t in config.get("added_tokens", [])]
+        self.special = re.compile(b"|".join(special) or b"(?!)").search
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of what the splitter gave."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= MEMO_WORDS:
+                self.pieces.clear()
+            known = self.library.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS))
+            ids = self.pieces[piece] = struct.pack(f"<{len(known)}I", *[t.id for t in known])
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        lower = text.lower()
+        if self.special(word):
+            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        elif text.isprintable() and max(text) < PLAIN_END and max(lower) < PLAIN_END and not ODD.search(text):
+            ids = self.piece(lower) if lower.isalpha() else b"".join(map(self.piece, PLAIN_PIECES.findall(lower)))
+        else:
+            found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            ids = b"".join(struct.pack("<I", t.id) for p, _ in found for t in self.library.model.tokenize(p))
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         last = np.array([end], "<u4").tobytes()
         if not self.by_word:
             found = self.library.encode_batch(texts, add_special_tokens=False)
             return [np.array(x.ids, "<u4").tobytes() + last for x in found]
-        split = [t.encode().split() for t in texts]  # at ASCII white space; the library handles the rest
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        mark = self.mark.encode()
-        for k in range(0, len(new), JOINED):
-            part = [w for w in new[k : k + JOINED] if mark not in w]
-            ids = np.array(self.library.encode(self.mark.join(w.decode() for w in part), add_special_tokens=False).ids, "<u4")
-            ends = [*np.nonzero(ids == self.mark_id)[0].tolist(), len(ids)]
-            at = 0
-            for w, stop in zip(part, ends if part else [], strict=True):
-                memo[w], at = ids[at:stop].tobytes(), stop + 1
-            for w in new[k : k + JOINED]:
-                if mark in w:
-                    memo[w] = np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, words)) + last for words in split]
+        # Split at ASCII white space; the library splits at the rest.
+        return [b"".join(map(self.__getitem__, t.encode().split())) + last for t in texts]
 
 
 def splits_at_space(config: dict) -> bool:
@@ -174,8 +196,9 @@ def splits_at_space(config: dict) -> bool:
     words = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"  # fixed value: the only split pattern known to drop white space
     split = bool(parts) and parts[0]["type"] == "Split" and parts[0]["pattern"] == {"Regex": words} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
     rest = all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in parts[1:])
+    model = config.get("model", {}).get("type") == "BPE" and not config["model"].get("dropout")
     added = all(not any(c.isspace() for c in t["content"]) and not t["lstrip"] and not t["rstrip"] for t in config.get("added_tokens", []))
-    return plain and split and rest and added
+    return plain and split and rest and model and added
 
 
 @lru_cache(maxsize=2)
