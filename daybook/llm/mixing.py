@@ -71,16 +71,17 @@ aggregate(sequence(0L, period - 1), named_struct('a', transform(k, x -> 0L), 'pa
 
 def numbered(docs: DataFrame, id_col: str, source_col: str, names: dict[str, str]) -> DataFrame:
     """Adds each row's number in its source, without gaps (``names['n']``)."""
-    bucket, n, first, rows = (names[x] for x in ("bucket", "n", "first", "rows"))
+    bucket, n, first, rows, key = (names[x] for x in ("bucket", "n", "first", "rows", "key"))
     hashed = F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 3), 16, 10).cast("int")
     spread = docs.withColumn(bucket, F.coalesce(hashed, F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS)).cast("int")))
-    sizes = spread.groupBy(F.col(source_col).alias(names["of"]), bucket).agg(F.count("*").alias(rows))
-    before = Window.partitionBy(names["of"]).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(names["of"]), F.col(bucket).alias(names["at"]), F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(first))
-    own = Window.partitionBy(source_col, bucket).orderBy(F.col(id_col).asc_nulls_first())
+    # A key that is never null: the window and the join then share one shuffle of the rows.
+    spread = spread.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
+    sizes = spread.groupBy(key, bucket).agg(F.count("*").alias(rows))
+    before = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(key, bucket, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(first))
+    own = Window.partitionBy(key, bucket).orderBy(F.col(id_col).asc_nulls_first())
     ranked = spread.withColumn(n, F.row_number().over(own) - 1)
-    joined = ranked.join(starts, F.col(source_col).eqNullSafe(F.col(names["of"])) & (F.col(bucket) == F.col(names["at"])))
-    return joined.withColumn(n, F.col(n) + F.col(first)).drop(first, names["of"], names["at"], bucket)
+    return ranked.join(starts, [key, bucket]).withColumn(n, F.col(n) + F.col(first)).drop(first, bucket, key)
 
 
 def schedule(sizes: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS, slots: int = SLOTS) -> DataFrame:
@@ -104,7 +105,7 @@ def schedule(sizes: DataFrame, weights: dict[str | None, int] | None = None, blo
 def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, int] | None, block_docs: int) -> tuple[DataFrame, dict[str, str]]:
     from .common import fresh, materialise
 
-    names = {x: fresh(docs, f"mix_{x}") for x in ("bucket", "n", "first", "rows", "of", "at", "block", "phase", "slot", "place", "weight", "period")}
+    names = {x: fresh(docs, f"mix_{x}") for x in ("bucket", "n", "first", "rows", "key", "block", "phase", "slot", "place", "weight", "period")}
     sizes = materialise(docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("docs")), "mix-sizes")
     if (sources := sizes.count()) > MAX_SOURCES:
         raise ValueError(f"{sources} sources; the schedule is made for {MAX_SOURCES} at most")
