@@ -292,7 +292,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
     (of several such rows, one). A component whose ids are all null keeps one row."""
     from .common import fresh, materialise
 
-    name = fresh(docs, "fp")
+    name, number = fresh(docs, "fp"), fresh(docs, "row")
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{name}` bigint"
     at = docs.columns.index(text_col)
 
@@ -301,9 +301,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ha
             made = np.fromiter((fingerprint(t or "") for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, name])
 
-    rows = materialise(docs.mapInArrow(run, schema), "fp-rows")
-    prints = rows.select(F.col(id_col).alias("doc_id"), F.col(name).alias("fp"))
-    root, first = fresh(rows, "root"), fresh(rows, "first")
-    found = components(prints, half).select(F.col("fp").alias(name), F.col("root").alias(root), F.col("component_id").alias(first))
-    chosen = rows.join(found, name, "left").filter(F.col(id_col).eqNullSafe(F.col(first)))
-    return chosen.dropDuplicates([root]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = materialise(docs.mapInArrow(run, schema).withColumn(number, F.monotonically_increasing_id()), "fp-rows")
+    prints = rows.select(F.col(id_col).alias("doc_id"), F.col(name).alias("fp"), F.col(number).alias("row"))
+    # Numbers decide; whole rows move once, in the last join.
+    found = prints.join(components(prints, half), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root").agg(F.min("row").alias(number)).select(number)
+    return rows.join(kept, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
