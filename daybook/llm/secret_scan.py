@@ -53,10 +53,11 @@ def compressor() -> zstandard.ZstdCompressor:
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bits a character of ``text[start:end]`` in its surroundings."""
-    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    """Marginal compressed bits a character of ``text[start:end]`` in its surroundings, without copies of itself there."""
+    value = text[start:end]
+    before, after = text[max(0, start - AROUND) : start].replace(value, ""), text[end : end + AROUND].replace(value, "")
     packed = compressor()
-    cost = len(packed.compress((before + text[start:end] + after).encode())) - len(packed.compress((before + after).encode()))
+    cost = len(packed.compress((before + value + after).encode())) - len(packed.compress((before + after).encode()))
     return 8 * cost / (end - start)
 
 

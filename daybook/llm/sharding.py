@@ -45,13 +45,15 @@ def first_map(shards: int = SHARDS, slots: int = SLOTS) -> np.ndarray:
 
 def rebalance(owner: np.ndarray, weight: np.ndarray, shards: int) -> np.ndarray:
     """An edited copy of the map: while it helps, the fullest shard gives the emptiest
-    one the slot, or exchanges the pair of slots, that evens the two out best."""
+    one the slot, or exchanges the pair of slots, that evens the two out best. A shard
+    that one huge record keeps over the others is left, and the others go on."""
     owner = owner.copy()
     load = np.bincount(owner, weights=weight, minlength=shards).astype(np.int64)
+    open_ = np.ones(shards, bool)
     for _ in range(EDITS):
-        high, low = int(load.argmax()), int(load.argmin())
+        high, low = int(np.where(open_, load, -1).argmax()), int(load.argmin())
         gap = int(load[high] - load[low])
-        if gap <= 1:
+        if gap <= 1 or not open_[high]:
             break
         ours, theirs = np.nonzero(owner == high)[0], np.nonzero(owner == low)[0]
         give = ours[weight[ours] > 0]
@@ -71,7 +73,8 @@ def rebalance(owner: np.ndarray, weight: np.ndarray, shards: int) -> np.ndarray:
                 if after[k] < best:
                     best, move = int(after[k]), (give[k], pick[k])
         if move is None:
-            break
+            open_[high] = False
+            continue
         owner[move[0]] = low
         if move[1] is not None:
             owner[move[1]] = high
