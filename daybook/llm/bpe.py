@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 #: Unicode White_Space, which is what ``\s`` means in the split pattern.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 800_000
 MEMO_CHARS = 64
 PAIR_ENTRIES = 2_000_000
 
@@ -154,7 +155,7 @@ class ByteBPE:
 
     def _segment(self, segment: str) -> bytes:
         tokens = [i for piece in self.pieces(segment) for i in self.encode_piece(piece.encode())]
-        ids = np.array(tokens, "<u4").tobytes()
+        ids = struct.pack(f"<{len(tokens)}I", *tokens)
         if len(segment) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_ENTRIES:
                 self.memo.clear()
