@@ -44,7 +44,7 @@ MAGIC = b"PFOR0001"
 BLOCK = 128
 PERCENTILE = 0.9
 FILE_IDS = 1 << 21
-MEMO_WORDS = 800_000
+MEMO_WORDS = 1_300_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[np.ndarray, ...]:
@@ -150,25 +150,23 @@ class Encoder(dict):
         self.by_word = splits_at_space(config)
         special = [re.escape(t["content"].encode()) for t in config.get("added_tokens", [])]
         self.special = re.compile(b"|".join(special) or b"(?!)").search
-        self.pieces: dict[str, bytes] = {}
+        self.letters_are_plain = not any(t["content"].isalpha() for t in config.get("added_tokens", []))
 
     def piece(self, piece: str) -> bytes:
-        """The ids of what the splitter gave."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= MEMO_WORDS:
-                self.pieces.clear()
-            known = self.library.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS))
-            ids = self.pieces[piece] = struct.pack(f"<{len(known)}I", *[t.id for t in known])
-        return ids
+        """The ids of what the splitter gave, before the byte-level alphabet."""
+        known = self.library.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS))
+        return struct.pack(f"<{len(known)}I", *[t.id for t in known])
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
         lower = text.lower()
-        if self.special(word):
+        low = word.isascii() or (max(text) < PLAIN_END and max(lower) < PLAIN_END)
+        if low and lower.isalpha() and self.letters_are_plain:
+            ids = self.piece(lower)
+        elif self.special(word):
             ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        elif text.isprintable() and max(text) < PLAIN_END and max(lower) < PLAIN_END and not ODD.search(text):
-            ids = self.piece(lower) if lower.isalpha() else b"".join(map(self.piece, PLAIN_PIECES.findall(lower)))
+        elif low and text.isprintable() and not ODD.search(text):
+            ids = b"".join(map(self.piece, PLAIN_PIECES.findall(lower)))
         else:
             found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             ids = b"".join(struct.pack("<I", t.id) for p, _ in found for t in self.library.model.tokenize(p))
