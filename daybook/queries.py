@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from .operators import analysis as an
 from .operators import daily, periods, records
 from .operators import events as ev
-from .plans import elt, stations
+from .plans import answers, elt, stations
+from .plans import query as structured
 from .sources import adapters as ad
 from .sources import parse
 
@@ -742,3 +744,100 @@ def place_search(s, d):
 def place_choices(s, d):
     named = ad.places(s, d).withColumn("name_key", F.concat(F.lit("springfield, "), F.col("geonameid").cast("string")))
     return stations.place_choices(named, "Springfield").select("geonameid", "population")
+
+
+@query("countries", _w(_STATIONS) + "SELECT DISTINCT country_name FROM stations WHERE selected AND wmo IS NOT NULL")
+def countries(s, d):
+    return stations.active(ad.stations(s, d)).select("country_name").distinct()
+
+
+@query("activate_station", _w(_STATIONS) + "SELECT ghcn_id, CASE WHEN ghcn_id = 'USW00000005' THEN 'HERE' ELSE city END AS city, selected OR ghcn_id = 'USW00000005' AS selected FROM stations")
+def activate_station(s, d):
+    return stations.activate(ad.stations(s, d), "USW00000005", "HERE").select("ghcn_id", "city", "selected")
+
+
+@query("upsert_preserving", _w(_STATIONS) + "SELECT ghcn_id, CASE WHEN wmo IS NULL THEN name ELSE name || ' NEW' END AS name, selected, city FROM stations")
+def upsert_preserving(s, d):
+    """Names are refreshed, what people chose stays."""
+    st = ad.stations(s, d).select("ghcn_id", "name", "selected", "city", "wmo")
+    news = st.filter("wmo IS NOT NULL").select("ghcn_id", F.concat("name", F.lit(" NEW")).alias("name"), F.lit(False).alias("selected"), F.lit(None).cast("string").alias("city"))
+    return elt.upsert(st.drop("wmo"), news, ["ghcn_id"], keep=("selected", "city"))
+
+
+@query("fill_empty", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'new' END AS c_name, c_mktsegment FROM customer")
+def fill_empty(s, d):
+    rows = ad.table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    partial = rows.withColumn("c_name", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")))
+    return elt.fill_empty(partial, rows.withColumn("c_name", F.lit("new")), ["c_custkey"])
+
+
+@query("resolved_turns", "SELECT event_type AS status, count(*) AS n FROM events WHERE ts::DATE = DATE '2024-01-20' AND event_type = 'click' GROUP BY 1")
+def resolved_turns(s, d):
+    return ad.chat_history(s, d).filter((F.to_date("created_at") == F.to_date(F.lit("2024-01-20"))) & (F.col("status") == "click")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("incremental_by_source", _w(_RAW, _CONV, "old AS (SELECT source, max(ingested_at) AS mark FROM both_sources WHERE obs_date <= CASE source WHEN 'GHCN' THEN DATE '2024-01-10' ELSE DATE '2024-01-20' END GROUP BY source)") + "SELECT station_id, obs_date, variable, source FROM both_sources JOIN old USING (source) WHERE ingested_at > mark")
+def incremental_by_source(s, d):
+    both = elt.union_sources(convert_ghcn(s, d), map_acis(s, d))
+    seen = both.filter(F.col("obs_date") <= F.to_date(F.when(F.col("source") == "GHCN", "2024-01-10").otherwise("2024-01-20")))
+    return elt.newer(both, seen, by_source=True).select("station_id", "obs_date", "variable", "source")
+
+
+@query("ghcn_cutoff", _w(_RAW, _CONV) + "SELECT cutoff FROM cut")
+def ghcn_cutoff(s, d):
+    return elt.cutoff(convert_ghcn(s, d))
+
+
+@query("celsius_means", _w(_SHORT, _days("obs_short", "TMAX", SHORT)) + "SELECT station_id, round((avg(value) - 32) * 5 / 9, 6) AS mean, round(stddev(value) * 5 / 9, 6) AS stddev, count(value) AS n_days FROM d GROUP BY station_id")
+def celsius_means(s, d):
+    return r6(answers.in_unit(daily.day_stats(short(s, d, "TMAX"), "mean", "stddev"), "TMAX", "C", ("mean",), ("stddev",)), "mean", "stddev")
+
+
+@query("odds_percent", _w(_LONG, _days("obs_long", "SNOW", LONG, hit="SNOW >= 5.5"), _buckets("any", "month"), "m AS (SELECT station_id, bucket_month AS month, value FROM b)") + "SELECT station_id, month, round(100 * round(avg(value), 3), 1) AS value FROM m GROUP BY 1, 2")
+def odds_percent(s, d):
+    return answers.as_percent(odds_month(s, d)).select("station_id", "month", "value")
+
+
+@query("climatology_bounds", _w(_LONG, _days("obs_long", "TMAX", LONG), _buckets("mean", "month"), "m AS (SELECT station_id, bucket_month AS x, round(avg(value), 1) AS value, round(stddev(value), 1) AS stddev FROM b GROUP BY 1, 2)") + "SELECT station_id, x, x::VARCHAR AS label, value, stddev, round(value - stddev, 4) AS lower, round(value + stddev, 4) AS upper FROM m")
+def climatology_bounds(s, d):
+    return answers.bounded(answers.points(series_month_of_year(s, d).drop("n_years"), "month"))
+
+
+@query("series_summary", _w(_LONG, _days("obs_long", "SNOW", LONG), _buckets("sum", "year", 7), "p AS (SELECT station_id, bucket_year AS x, round(round(value, 6), 2) AS value FROM b)") + "SELECT station_id, max(value) AS highest, (SELECT max(x) FROM p q WHERE q.station_id = p.station_id AND q.value = (SELECT max(value) FROM p r WHERE r.station_id = q.station_id)) AS highest_at, min(value) AS lowest, (SELECT max(x) FROM p q WHERE q.station_id = p.station_id AND q.value = (SELECT min(value) FROM p r WHERE r.station_id = q.station_id)) AS lowest_at, round(avg(value), 4) AS mean, count(*) AS n FROM p GROUP BY station_id")
+def series_summary(s, d):
+    found = periods.series(periods.buckets(long(s, d, "SNOW"), "year", "sum", 7), "SNOW")
+    return answers.summary(answers.points(found.select("station_id", "bucket_year", "value"), "bucket_year"))
+
+
+@query("climatology_table", _w(_LONG, *[x.replace("d AS", f"d{k} AS", 1).replace("FROM d ", f"FROM d{k} ").replace("b AS", f"b{k} AS", 1) for k, m in enumerate(("TMAX", "TMIN")) for x in (_days("obs_long", m, LONG), _buckets("mean", "month"))]) + "SELECT station_id, month, high, low FROM (SELECT station_id, bucket_month AS month, round(avg(value), 1) AS high FROM b0 GROUP BY 1, 2) FULL JOIN (SELECT station_id, bucket_month AS month, round(avg(value), 1) AS low FROM b1 GROUP BY 1, 2) USING (station_id, month)")
+def climatology_table(s, d):
+    part = lambda m: periods.month_of_year(long(s, d, m), m, "mean")
+    return answers.climatology_table({"high": part("TMAX"), "low": part("TMIN")}, "month")
+
+
+def _ask(s, d, q: structured.Query, table=ad.obs_short) -> DataFrame:
+    today = date.fromisoformat(TODAY)
+    full = structured.apply_defaults(q, today)
+    if found := structured.problems(full, today):
+        raise ValueError("; ".join(found))
+    return structured.answer(table(s, d), full, today)
+
+
+@query("ask_freezes", _w(_SHORT, _days("obs_short", "TMIN", SHORT, hit="TMIN <= 32")) + "SELECT station_id, count(*) FILTER (hit = 1)::DOUBLE AS count, count(value) AS n_days FROM d GROUP BY station_id")
+def ask_freezes(s, d):
+    return _ask(s, d, structured.Query(aggregation="count", condition="freeze", start=SHORT[0], end=SHORT[1]))
+
+
+@query("ask_wettest_storms", _w(_SHORT, _days("obs_short", "PRCP", SHORT, hit="PRCP >= 0.05"), _EVENTS) + "SELECT station_id, event_start, duration, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY rank, event_start) AS i FROM (SELECT *, dense_rank() OVER (PARTITION BY station_id ORDER BY round(total, 2) DESC) AS rank FROM e) WHERE rank <= 2) WHERE i <= 15")
+def ask_wettest_storms(s, d):
+    return _ask(s, d, structured.Query("PRCP", "top", "event", limit=2, start=SHORT[0], end=SHORT[1])).select("station_id", "event_start", "duration", "rank")
+
+
+@query("ask_snowiest_season", _w(_LONG, _days("obs_long", "SNOW", LONG), _buckets("sum", "year", 7)) + "SELECT station_id, bucket_year, round(value, 6) AS value, n_days FROM b QUALIFY dense_rank() OVER (PARTITION BY station_id ORDER BY round(value, 2) DESC) = 1")
+def ask_snowiest_season(s, d):
+    return r6(_ask(s, d, structured.Query("SNOW", "max", "snow_season", start=LONG[0], end=LONG[1]), ad.obs_long), "value").select("station_id", "bucket_year", "value", "n_days")
+
+
+@query("ask_json", _w(_SHORT, _days("obs_short", "SNWD", SHORT)) + """SELECT '{"station_id":"' || station_id || '","max":' || max(value) || ',"n_days":' || count(value) || '}' AS json FROM d GROUP BY station_id""")
+def ask_json(s, d):
+    return structured.as_json(daily.day_stats(short(s, d, "SNWD"), "max"))
