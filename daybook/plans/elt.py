@@ -47,15 +47,15 @@ def decoded(value: Column) -> Column:
 def newer(rows: DataFrame, target: DataFrame | None, by_source: bool = False) -> DataFrame:
     """Rows ingested after the target's newest, overall or within each source.
 
-    The newest times are one row, or one a source, and stay a join, so nothing is collected.
+    The newest time is a scalar subquery, or one row a source to join; nothing is collected.
     """
     if target is None:
         return rows
     if by_source:
         marks = target.groupBy("source").agg(F.max("ingested_at").alias("_m"))
         return rows.join(F.broadcast(marks), "source", "left").filter(F.col("_m").isNull() | (F.col("ingested_at") > F.col("_m"))).drop("_m")
-    mark = target.agg(F.max("ingested_at").alias("_m"))
-    return rows.crossJoin(F.broadcast(mark)).filter(F.col("_m").isNull() | (F.col("ingested_at") > F.col("_m"))).drop("_m")
+    mark = target.agg(F.max("ingested_at")).scalar()
+    return rows.withColumn("_m", mark).filter(F.col("_m").isNull() | (F.col("ingested_at") > F.col("_m"))).drop("_m")
 
 
 def cutoff(ghcn: DataFrame) -> DataFrame:
@@ -77,8 +77,7 @@ def by_precedence(rows: DataFrame, last: DataFrame) -> DataFrame:
     ghcn, some = F.col("source") == "GHCN", F.col("value").isNotNull()
     rank = F.when(~ghcn & recent, 1).when(ghcn & some, 2).when(~ghcn & some, 3).otherwise(4)
     first = F.row_number().over(Window.partitionBy(*KEY).orderBy(rank, F.desc("ingested_at"), "source"))
-    # The cutoff is one row.
-    kept = rows.crossJoin(F.broadcast(last)).withColumn("_n", first).filter("_n = 1")
+    kept = rows.withColumn("cutoff", last.scalar()).withColumn("_n", first).filter("_n = 1")
     return kept.filter(~(ghcn & recent & ~some)).drop("_n", "cutoff")
 
 
