@@ -38,6 +38,9 @@ KINDS = ("email", "ip", "card", "phone", "id", "name")
 LABELERS = ("shape", "checksum", "gazetteer", "support", "against", "near")
 KEEP = 0.9
 EM_ROUNDS = 60
+MOST_PRIOR = 0.8
+RIDGE = 1e-5
+TRUST = 0.1
 CONTEXT = 48
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -203,25 +206,32 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 
 def expectation_maximisation(kinds: np.ndarray, cast: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each vote pattern, P(vote | truth) by labeler, prior by kind.
+    """Posterior of each vote pattern, P(vote | truth) by kind and labeler, prior by kind.
 
-    ``cast`` has a row of votes (-1, 0, 1) a pattern, ``n`` its count.
+    ``cast`` has a row of votes (-1, 0, 1) a pattern, ``n`` its count. Each kind has its own
+    estimates: labelers abstain on some kinds, which says nothing about the truth.
     """
+    labelers = cast.shape[1]
     post = 1 / (1 + np.exp(-1.5 * cast.sum(axis=1)))
-    for _ in range(rounds):
-        prior = np.array([(1 + (n * post)[kinds == k].sum()) / (2 + n[kinds == k].sum()) for k in range(len(KINDS))])
-        table = np.empty((cast.shape[1], 3, 2))
-        for j in range(cast.shape[1]):
-            for v in (-1, 0, 1):
-                own = cast[:, j] == v
-                # One made-up vote for each side keeps a labeler's meaning: for is likelier if true.
-                table[j, v + 1, 1] = (n * post)[own].sum() + (2 if v == 1 else 1)
-                table[j, v + 1, 0] = (n * (1 - post))[own].sum() + (2 if v == -1 else 1)
-            table[j] /= table[j].sum(axis=0)
-        logit = np.log(prior / (1 - prior))[kinds]
-        for j in range(cast.shape[1]):
-            logit = logit + np.log(table[j, cast[:, j] + 1, 1] / table[j, cast[:, j] + 1, 0])
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    table, prior = np.full((len(KINDS), labelers, 3, 2), 1 / 3), np.full(len(KINDS), 0.5)
+    for k in np.unique(kinds):
+        own = kinds == k
+        votes_, count, p = cast[own], n[own], post[own]
+        for _ in range(rounds):
+            # No kind is taken as certain: else a common kind would outvote what speaks against a candidate.
+            prior[k] = np.clip((1 + (count * p).sum()) / (2 + count.sum()), 1 - MOST_PRIOR, MOST_PRIOR)
+            logit = np.full(len(p), np.log(prior[k] / (1 - prior[k])))
+            for j in range(labelers):
+                seen = {v: votes_[:, j] == v for v in (-1, 0, 1)}
+                for truth, mass in ((1, count * p), (0, count * (1 - p))):
+                    made_up = TRUST * mass.sum() + 1  # votes that keep a labeler's meaning: for is likelier if true
+                    right, wrong = (1, -1) if truth else (-1, 1)
+                    t = [mass[seen[v]].sum() + (0.9 * made_up if v == right else 0.1 * made_up if v == wrong else 0.01) for v in (-1, 0, 1)]
+                    table[k, j, :, truth] = np.array(t) / sum(t)
+                if not seen[0].all():
+                    logit += np.log(table[k, j, votes_[:, j] + 1, 1] / table[k, j, votes_[:, j] + 1, 0])
+            p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        post[own] = p
     return post, table, prior
 
 
@@ -241,12 +251,13 @@ def train(counts: dict[int, int]) -> dict[str, object]:
     n = np.array([counts[s] for s in sigs], float)
     kinds, cast = np.array([unsign(s)[0] for s in sigs]), np.array([unsign(s)[1] for s in sigs])
     post, table, prior = expectation_maximisation(kinds, cast, n)
-    x, weight = features(sigs), n / n.sum()
+    # Square roots of the counts: rare signatures are heard beside very common ones.
+    x, weight = features(sigs), np.sqrt(n) / np.sqrt(n).sum()
     w = np.zeros(x.shape[1])
     for _ in range(400):  # Newton's steps on the penalised soft-label likelihood
         p = 1 / (1 + np.exp(-x @ w))
-        grad = x.T @ (weight * (post - p)) - 1e-4 * w
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w)), grad)
+        grad = x.T @ (weight * (post - p)) - RIDGE * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), grad)
         w += step
         if np.abs(step).max() < 1e-9:
             break
