@@ -69,8 +69,9 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     for w in np.unique(width):
         if w:
             own = np.nonzero(width == w)[0]
-            bits = (diff[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            rows = np.packbits(bits.astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+            narrow = diff[own].astype("u1" if w <= 8 else "<u2" if w <= 16 else "<u4")  # the low bits are all that is packed
+            bits = np.unpackbits(narrow.view(np.uint8).reshape(len(own), block, narrow.itemsize), axis=2, bitorder="little")[:, :, :w]
+            rows = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
             out[starts[own].astype(np.int64)[:, None] + np.arange(rows.shape[1])] = rows
     return low, width, np.bincount(row, minlength=blocks).astype(np.uint16), starts, col.astype(np.uint16), high[row, col], out
 
