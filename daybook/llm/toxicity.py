@@ -70,6 +70,14 @@ class Words:
         self.sizes = lengths - 2  # an empty word can't be
         self.heads = np.cumsum(self.sizes) - self.sizes
 
+    def some(self, rows: np.ndarray) -> Words:
+        """The features of these rows alone, in their order."""
+        out = object.__new__(Words)
+        out.n, out.word, out.sizes = len(rows), self.word[rows], self.sizes[rows]
+        out.heads = np.cumsum(out.sizes) - out.sizes
+        out.grams = self.grams[np.repeat(self.heads[rows] - out.heads, out.sizes) + np.arange(out.sizes.sum())]
+        return out
+
     def inputs(self, net: dict[str, np.ndarray]) -> np.ndarray:
         """One row a word: its embedding and the mean of its trigrams'."""
         if not self.n:
@@ -190,21 +198,31 @@ def fit(sample: list[tuple[list[list[bytes]], int]], seed: int = 7) -> dict[str,
     if not len(labels) or labels.min() == labels.max():
         return float(labels.mean()) if len(labels) else 0.0
     rng, net = np.random.default_rng(seed), new_net(seed)
-    moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.items()}
+    index: dict[bytes, int] = {}
+    docs = []
+    for windows, _ in sample:
+        docs.append(np.full((len(windows), WINDOW), -1, np.int64))
+        for row, window in zip(docs[-1], windows, strict=True):
+            own = [index.setdefault(w, len(index)) for w in window[:WINDOW]]
+            row[: len(own)] = own
+    every = Words(list(index))
     share = labels.mean()
     # A word that few training documents have could only be learned by heart: it keeps no
     # embedding. One dimension of each embedding starts as the shrunk log-odds of a toxic
     # label among the training documents that have the word or trigram.
     have = {"words": np.zeros((2, 1 << WORD_BITS)), "chars": np.zeros((2, 1 << CHAR_BITS))}
-    for windows, y in sample:
-        own = Words(list({w for window in windows for w in window}))
+    for doc, (_, y) in zip(docs, sample, strict=True):
+        own = every.some(np.unique(doc[doc >= 0]))
         have["words"][y][np.unique(own.word)] += 1
         have["chars"][y][np.unique(own.grams)] += 1
     for name, (clean, toxic) in have.items():
         rate = (toxic + PRIOR_DOCS * share) / (clean + toxic + PRIOR_DOCS)
         net[name][:, 0] = (np.log(rate / (1 - rate)) - np.log(share / (1 - share))) / 2
-    known = (have["words"].sum(axis=0) >= LEAST_DOCS).astype(F32)[:, None]
-    net["words"] *= known
+    known = have["words"].sum(axis=0) >= LEAST_DOCS
+    net["words"] *= known[:, None]
+    # Rows that learn: of the words' table the known ones, else all.
+    learns = {"words": np.nonzero(known)[0]}
+    moment = {k: [np.zeros_like(v[learns.get(k, slice(None))])] * 2 for k, v in net.items()}
     importance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(F32)
     steps = -(-len(sample) // BATCH)
     epochs = max(EPOCHS, -(-LEAST_STEPS // steps))
@@ -213,31 +231,37 @@ def fit(sample: list[tuple[list[list[bytes]], int]], seed: int = 7) -> dict[str,
         order = rng.permutation(len(sample))
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
-            index: dict[bytes, int] = {}
-            counts = np.array([len(sample[i][0]) for i in own])
-            ids = np.full((WINDOW, counts.sum()), -1, np.int64)
-            for j, window in enumerate(w for i in own for w in sample[i][0]):
-                row = [index.setdefault(w, len(index)) for w in window[:WINDOW]]
-                ids[: len(row), j] = row
-            if not index:
+            counts = np.array([len(docs[i]) for i in own])
+            rows = np.concatenate([docs[i] for i in own])
+            full = rows >= 0
+            if not full.any():
                 continue
-            words, heads = Words(list(index)), np.cumsum(counts) - counts
+            distinct, first, at = np.unique(rows[full], return_index=True, return_inverse=True)
+            met = np.argsort(first)  # words in the order in which the batch has them
+            rows[full] = np.argsort(met)[at]
+            ids, words, heads = np.ascontiguousarray(rows.T), every.some(distinct[met]), np.cumsum(counts) - counts
             if epoch:
                 inputs = words.inputs(net)
                 logits = window_logits(ids, {d: inputs @ net[f"W{d}"] + net[f"c{d}"] for d in "fb"}, net)
                 pick = np.array([h + int(logits[h : h + c].argmax()) for h, c in zip(heads, counts, strict=True)])
             else:
                 pick = heads + rng.integers(0, counts)
-            _, g = gradients(ids[:, pick], labels[own], importance[own] / len(own), words, net, (rng.random((words.n, 1)) >= DROP).astype(F32))
+            seen, chosen = (rng.random((words.n, 1)) >= DROP).astype(F32), ids[:, pick]
+            used, at = np.unique(chosen[chosen >= 0], return_inverse=True)
+            if not len(used):
+                continue
+            chosen[chosen >= 0] = at
+            _, g = gradients(chosen, labels[own], importance[own] / len(own), words.some(used), net, seen[used])
             step += 1
             rate = RATE * min(1, step / 20) * (1 - 0.9 * step / total)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             for name, v in g.items():
-                v = v * min(1, 1 / (norm + 1e-9)) * (known if name == "words" else 1)
+                at = learns.get(name, slice(None))
+                v = v[at] * min(1, 1 / (norm + 1e-9))
                 m = moment[name]
                 m[0] = 0.9 * m[0] + 0.1 * v
                 m[1] = 0.99 * m[1] + 0.01 * v * v
-                net[name] -= (rate * SLOWER.get(name, 1) * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)).astype(F32)
+                net[name][at] -= (rate * SLOWER.get(name, 1) * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)).astype(F32)
     return net
 
 

@@ -334,6 +334,20 @@ def test_toxicity_without_labels(spark, tmp_path):
     assert {r.score for r in toxicity.op6(spark, str(tmp_path)).collect()} == {0.0}
 
 
+def test_some_words_have_the_features_of_those_alone():
+    distinct = [b"ab", b"c", b"defg", b"\xc3\xa9", b"longer-word"]
+    for rows in ([4, 0, 2], [1], []):
+        part, alone = toxicity.Words(distinct).some(np.array(rows, np.int64)), toxicity.Words([distinct[k] for k in rows])
+        assert part.n == alone.n and all((getattr(part, x) == getattr(alone, x)).all() for x in ("word", "grams", "heads", "sizes"))
+
+
+def test_fit_takes_documents_without_words():
+    wordless = [([[]], 0), ([[]], 1)]
+    assert set(toxicity.fit(wordless)) == set(toxicity.new_net())
+    net = toxicity.fit([*wordless, ([[b"good", b"day"]], 0), ([[b"bad", b"day"], [b"bad"]], 1)] * 8)
+    assert toxicity.score(["bad"], net)[0] > toxicity.score(["good"], net)[0]
+
+
 def test_scores_do_not_depend_on_the_batch():
     net = toxicity.new_net()
     texts = ["", "one", "two words", " ".join(f"w{k}" for k in range(200)), "ünï cödé"]
