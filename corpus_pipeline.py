@@ -45,9 +45,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and digests of every row."""
+    """doc_id, lang, source, slot, place, n_tokens, ids and digests of every row, in the schedule's order.
+
+    Stored rows lose their order when they are read, so it is derived again here, and
+    slot and place stay in the result.
+    """
     ready(spark)
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["lang", "source"])
+    rows, slot, place = mixing.ordered(docs)
+    made = bpe.encode(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["lang", "source", slot, place])
+    return made.withColumnsRenamed({slot: "slot", place: "place"})
 
 
 STAGES = [

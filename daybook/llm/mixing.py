@@ -130,8 +130,19 @@ def positions(docs: DataFrame, weights: dict[str | None, int] | None = None, id_
 
 def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All rows and columns of ``docs`` in the schedule's order: range-partitioned and sorted by slot and place."""
+    return ordered(docs, weights, id_col, source_col, block_docs)[0].select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def ordered(docs: DataFrame, weights: dict[str | None, int] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, str, str]:
+    """The rows of :func:`mixed` with their slot and place, and the names of these two columns.
+
+    A stored table is read in no set order, so whoever stores rows must store these too.
+    They follow from ids and sources alone: for ids that are neither null nor repeated, any
+    order or partitioning of the rows gives the same ones.
+    """
     placed, names = _placed(docs, id_col, source_col, weights, block_docs)
-    return placed.repartitionByRange(names["slot"], names["place"]).sortWithinPartitions(names["slot"], names["place"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = names["slot"], names["place"]
+    return placed.repartitionByRange(*at).sortWithinPartitions(*at).select(*[F.col(f"`{c}`") for c in docs.columns], *at), *at
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -71,3 +71,26 @@ def test_mixing_and_secrets_keep_every_row(spark, tmp_path):
     docs = crowded(spark)
     for stage in (corpus_pipeline.replace_secrets, corpus_pipeline.mix_sources, corpus_pipeline.encode_bytes):
         assert stage(spark, docs, str(tmp_path)).count() == len(hard_rows())
+
+
+def test_the_schedule_survives_storage(spark, tmp_path):
+    from daybook.llm import mixing
+
+    rows = [(k, f"text {k} " + "x" * (k * 7 % 400), "en", "hot" if k % 3 else f"s{k % 7}", 1) for k in range(2000)]
+    want = {r.doc_id: (r.slot, r.place) for r in mixing.positions(table(spark, rows)).collect()}
+    mixed = corpus_pipeline.mix_sources(spark, table(spark, rows), "")
+    mixed.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.encode_bytes(spark, spark.read.parquet(f"{tmp_path}/mixed"), "")
+    got = [(r.slot, r.place) for r in out.collect()]
+    assert got == sorted(got) == sorted(want.values())
+    out.repartition(8).write.parquet(f"{tmp_path}/out")
+    assert {r.doc_id: (r.slot, r.place) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+
+
+def test_run_returns_the_schedules_order(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(k, " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 9) for _ in range(40)), "en", "hot" if k % 3 else f"s{k % 7}", 1) for k in range(600)]
+    put(table(spark, rows).repartition(8), tmp_path)
+    put(spark.createDataFrame([], LABELS), tmp_path, "labels")
+    got = [(r.slot, r.place) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert len(got) == 600 and got == sorted(set(got))
