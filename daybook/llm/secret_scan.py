@@ -1,8 +1,10 @@
 """Secrets: fixed rules, and novelty under a dictionary-primed zstandard compressor.
 
 Base spans (assign, access, hex) are found by fixed rules and always stay. A
-further candidate is a string of ``MIN_CHARS`` or more token characters that
-follows a sensitive word closely and touches no base span. Its novelty is the
+further candidate is a string of ``MIN_CHARS`` or more token characters, letters and
+digits among them, that stands within ``REACH`` characters before or after a sensitive
+word and touches no base span; every such string is measured. The name that holds the
+word (``TOKEN_PROD``, ``password2``) is skipped, and ``=`` parts a name from its value. Its novelty is the
 marginal cost: the compressed size of its surroundings with it, less that of the
 surroundings alone, by a compressor primed with a dictionary of identifiers. What
 code and prose repeat costs few bytes; a random key can't be compressed. A
@@ -37,9 +39,10 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 SENSITIVE_WORDS = ("pass", "secret", "token", "key", "auth", "bearer", "credential", "private", "signature", "pwd", "salt")
-SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|secret|token|\bkey|key\b|auth|bearer|credential|private|signature|\bpwd|\bsalt\b", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]+")
-LINK = re.compile(r"[\s\"':=<>()\[\]{},-]*(?:is|was|are|Basic|Bearer|Token)?[\s\"':=<>()\[\]{},-]*")
+SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|secret|token|\bkey|key\b|api_?key|_key|key_|(?-i:(?<=[a-z0-9])Key(?![a-z]))|auth|bearer|credential|private|signature|\bpwd|\bsalt\b", re.I | re.A)
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_CHARS)
+VALUE = re.compile(r"[A-Za-z0-9+/_.-]+(?:=+(?![A-Za-z0-9+/_.-]))?")
+NAME = re.compile(r"[A-Za-z0-9_]+")
 #: What code and configuration are full of; a candidate made of these costs little.
 IDENTIFIERS = """abstract access account action address algorithm amount append application argument array async attribute authorization await boolean break buffer builder bytes cache callback category certificate channel character class client collection column command comment component config configuration connection constant constructor container content context control controller cookie count create credential current database dataset date debug decode decrypt default define delete dependency description destination development directory document domain double element email enable encode encrypt endpoint entity entry environment error event example exception execute export expression extension factory false feature field file filter final float folder format function gateway generate group handler hash header helper host html http https identifier image implement import include index input insert instance integer interface internal item iterator json keyword label language length library list listener local location login logger manager mapping master match memory message metadata method model module monitor name namespace network number object operation option output package page parameter parent parse password path pattern payload permission pipeline pointer policy port prefix primary private process production project property protocol provider proxy public query queue random range record reference register release remote remove replace repository request require resource response result return role route row schema scope script search secret secure select sequence server service session setting signature size source stack start state static status storage stream string struct style submit suffix switch system table target template test text thread timeout timestamp title token total transaction transform true type undefined unique update upload user username utility validate value variable vector verify version view warning window worker wrapper""".split()
 
@@ -73,32 +76,60 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def pieces(text: str, start: int, end: int, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a run of token characters: what ``=`` parts, and what is left of such a part without the names that hold ``words``."""
+    k = 0
+    for m in VALUE.finditer(text, start, end):
+        yield m.span()
+        at = m.start()
+        for name in NAME.finditer(text, m.start(), m.end()):
+            while k < len(words) and words[k][1] <= name.start():
+                k += 1
+            if k < len(words) and words[k][0] < name.end():
+                yield at, name.start()
+                at = name.end()
+        if at > m.start():
+            yield at, m.end()
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Incompressible strings in sensitive context that touch no base span."""
     lower = text.lower()
     if not any(w in lower for w in SENSITIVE_WORDS):
         return []
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
     fixed = sorted((s, e) for s, _, e in base)
     reach, far = [], 0
     for _, e in fixed:
         far = max(far, e)
         reach.append(far)
-    out, seen = [], -1
-    for m in SENSITIVE.finditer(text):
-        link = LINK.match(text, m.end(), m.end() + REACH)
-        c = CANDIDATE.match(text, link.end() if link else m.end())
-        # A word's own tail isn't a value: something must separate the two.
-        if not c or c.start() == m.end() or c.start() <= seen:
-            continue
-        seen = c.start()
-        s, e = c.span()
-        value = c[0]
-        if e - s < MIN_CHARS or not any(x.isdigit() for x in value) or not any(x.isalpha() for x in value):
-            continue
+
+    def near(s: int, e: int) -> bool:
+        # A word that lies inside the string itself says nothing about it.
+        before, after = bisect.bisect_right(ends, s) - 1, bisect.bisect_left(starts, e)
+        return (before >= 0 and s - ends[before] <= REACH) or (after < len(words) and starts[after] - e <= REACH)
+
+    def novel(s: int, e: int) -> bool:
+        value = text[s:e]
+        if e - s < MIN_CHARS or not any(x.isdigit() for x in value) or not any(x.isalpha() for x in value) or not near(s, e):
+            return False
         k = bisect.bisect_left(fixed, (e, -1))
-        if (k and reach[k - 1] > s) or novelty(text, s, e) < MIN_BITS:
+        return not (k and reach[k - 1] > s) and novelty(text, s, e) >= MIN_BITS
+
+    out = []
+    for m in RUN.finditer(text):
+        s, e = m.span()
+        inside = words[bisect.bisect_right(ends, s) : bisect.bisect_left(starts, e)]
+        if not inside and not near(s, e):
             continue
-        out.append((s, 3, e))
+        at = s
+        for a, b in [*pieces(text, s, e, inside), (s, e)]:
+            while a < b and text[a] in "=-":
+                a += 1
+            if a >= at and novel(a, b):
+                out.append((a, 3, b))
+                at = b
     return out
 
 

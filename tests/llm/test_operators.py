@@ -205,6 +205,21 @@ def test_novelty_tells_keys_from_words():
     assert key not in secret_scan.redact(f"private key is {key} here") and secret_scan.redact("nothing here") == "nothing here" and secret_scan.redact(None) is None
 
 
+@pytest.mark.parametrize("text", ['secret_value = "K"', "credentials: K", 'tokens: ["K"]', 'TOKEN_PROD="K"', "TOKEN_PROD=K", 'password_prod = "K"', "password2: K", 'private_key_pem = "K"', 'apiKeyProd = "K"', "Authorization: Basic K", "the secret for the build server is K", "K is the secret", "a token named abc or K"])
+def test_every_string_near_a_sensitive_word_is_measured(text):
+    rng, at = random.Random(11), text.rindex("K", 0, len(text)) if not text.startswith("K ") else 0
+    for _ in range(20):
+        key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") + rng.choice("0123456789") for _ in range(12))
+        full = text[:at] + key + text[at + 1 :]
+        found = [(s, e) for s, _, e in secret_scan.spans(full)[1]]
+        assert any(s <= at and e >= at + len(key) for s, e in found) and key not in secret_scan.redact(full)
+
+
+def test_secrets_in_long_runs_are_linear():
+    for text in ("token=a" * 60_000, "key " * 100_000, "a1" * 200_000 + " key", "private-ab12cd34ef56gh78." * 15_000):
+        secret_scan.spans(text)
+
+
 def test_secret_query(spark, tmp_path):
     rows = [*hard_rows(), (50, 'é token = "6b526d9e98196c4dff5a73e8083186bb0ce9e5bd"', "en", "a", 1)]
     got = secret_scan.op4(spark, put(table(spark, rows), tmp_path)).collect()
