@@ -13,13 +13,19 @@ weights; within each phase the deviation is again less than a block. No row is l
 or repeated.
 
 Default weights are proportional to the square root of a source's documents, in
-integers that sum to about ``SLOTS``; explicit integer weights can be given.
+integers of at least 1, rounded down from shares of a number of slots. :func:`mixed` and
+:func:`ordered` take ``SLOTS_A_SOURCE`` slots a source, ``SLOTS`` at least, so weights stay
+in proportion for any number of sources. :func:`positions` takes ``SLOTS``, as its SQL does:
+with some hundred sources or more its weights draw near to equal ones. Explicit integer
+weights can be given.
 
 Numbering: rows get one of ``BUCKETS`` hash buckets of their id, a source's buckets are
 numbered in turn, and rows within (source, bucket) by id; so a source with a third of
 all rows is spread over ``BUCKETS`` groups. The schedule is a table with one row a source
-and phase; sources are counted first and limited to ``MAX_SOURCES``, which bounds the
-broadcast.
+and phase. Sources are counted first. Up to ``FOLDED`` of them it is folded in Spark and
+broadcast. Beyond, the driver runs the same rule with heaps, over one row a source and never
+more slots than there are blocks; the schedule is then spread to one row a block and joined
+by (source, block), which needs no broadcast and splits a large source.
 
 Defined cases: a null source is a source of its own, sorted first; rows with a null id are
 spread over buckets by their row number; repeated rows are numbered apart; an empty
@@ -29,13 +35,18 @@ those whose names clash with this module's.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS = 16
 SLOTS = 360
 BUCKETS = 4096
-MAX_SOURCES = 2048
+SLOTS_A_SOURCE = 16
+FOLDED = 64
 
 #: One row (names, k, m: arrays by source; weights and blocks) to one row a phase.
 #: p.kk: weights of the phase's active sources, else 0; p.period: their sum;
@@ -84,8 +95,41 @@ def numbered(docs: DataFrame, id_col: str, source_col: str, names: dict[str, str
     return ranked.join(starts, [key, bucket]).withColumn(n, F.col(n) + F.col(first)).drop(first, bucket, key)
 
 
-def schedule(sizes: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS, slots: int = SLOTS) -> DataFrame:
-    """From (source, docs): a row a source and phase: source, phase, start, period, weight, base, used, slots (its slots in a period)."""
+def phases_of(k: list[int], m: list[int]) -> Iterator[tuple[int, int, int, list[int], list[int], list[int], list[list[int]]]]:
+    """What ``PLAN`` gives for weights ``k`` and blocks ``m``, a phase at a time: its number, start and period, and by
+    active source: the source, blocks before, blocks in it, and its slots of a period as far as they are used."""
+    rem, start, phase = list(m), 0, 0
+    active = [i for i, x in enumerate(rem) if x > 0]
+    while active:
+        period = sum(k[i] for i in active)
+        rounds = min(rem[i] // k[i] for i in active)
+        rest = {i: rem[i] - rounds * k[i] for i in active}
+        slots: dict[int, list[int]] = {i: [] for i in active}
+        due = [(-(-period // k[i]), i) for i in active]
+        heapq.heapify(due)
+        later: list[tuple[int, int]] = []
+        cut = None
+        for t in range(period):
+            while later and later[0][0] <= t:
+                _, i = heapq.heappop(later)
+                heapq.heappush(due, (-(-(len(slots[i]) + 1) * period // k[i]), i))
+            i = heapq.heappop(due)[1]
+            if cut is None and len(slots[i]) == rest[i]:
+                cut = t
+                if not rounds:
+                    break
+            slots[i].append(t)
+            heapq.heappush(later, (len(slots[i]) * period // k[i], i))
+        used = [rounds * k[i] + (sum(t < cut for t in slots[i]) if rounds else len(slots[i])) for i in active]
+        yield phase, start, period, active, [m[i] - rem[i] for i in active], used, [slots[i] for i in active]
+        for i, x in zip(active, used, strict=True):
+            rem[i] -= x
+        start, phase = start + rounds * period + cut, phase + 1
+        active = [i for i in active if rem[i] > 0]
+
+
+def weighted(sizes: DataFrame, weights: dict[str | None, int] | None, block_docs: int, slots: int) -> DataFrame:
+    """From (source, docs): with each source's blocks m and weight k."""
     blocks = sizes.select("source", "docs", F.ceil(F.col("docs") / block_docs).cast("long").alias("m"))
     if weights is None:
         every = Window.partitionBy(F.lit(0))
@@ -94,6 +138,27 @@ def schedule(sizes: DataFrame, weights: dict[str | None, int] | None = None, blo
     else:
         given = sizes.sparkSession.createDataFrame([(s, int(w)) for s, w in weights.items()], "name string, given bigint")
         blocks = blocks.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("name")), "left").withColumn("k", F.greatest(F.lit(1), F.coalesce("given", F.lit(1))).cast("long"))
+    return blocks
+
+
+def long_schedule(sizes: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS, slots: int = SLOTS) -> DataFrame:
+    """The rows of :func:`schedule` for any number of sources, made by the driver."""
+    rows = weighted(sizes, weights, block_docs, slots).orderBy(F.col("source").asc_nulls_first()).select("source", "k", "m").toArrow()
+    names, k, m = rows.column(0), rows.column(1).to_pylist(), rows.column(2).to_pylist()
+    parts = []
+    for phase, start, period, active, base, used, own in phases_of(k, m):
+        some = [x for x, n in enumerate(used) if n > 0]
+        of = [active[x] for x in some]
+        columns = {"source": names.take(pa.array(of, pa.int64())), "phase": pa.array([phase] * len(of), pa.int32()), "start": pa.array([start] * len(of), pa.int64()), "period": pa.array([period] * len(of), pa.int64()),
+                   "weight": pa.array([k[i] for i in of], pa.int64()), "base": pa.array([base[x] for x in some], pa.int64()), "used": pa.array([used[x] for x in some], pa.int64()),
+                   "slots": pa.array([own[x] for x in some], pa.list_(pa.int32()))}
+        parts.append(pa.table(columns))
+    return sizes.sparkSession.createDataFrame(pa.concat_tables(parts))
+
+
+def schedule(sizes: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS, slots: int = SLOTS) -> DataFrame:
+    """From (source, docs): a row a source and phase: source, phase, start, period, weight, base, used, slots (its slots in a period)."""
+    blocks = weighted(sizes, weights, block_docs, slots)
     corpus = blocks.agg(F.sort_array(F.collect_list(F.struct("source", "k", "m"))).alias("s")).filter(F.size("s") > 0)
     corpus = corpus.select(F.col("s.source").alias("names"), F.col("s.k").alias("k"), F.col("s.m").alias("m"))
     phases = corpus.select("names", F.posexplode(F.expr(PLAN.format(edf=EDF))).alias("phase", "p"))
@@ -102,21 +167,29 @@ def schedule(sizes: DataFrame, weights: dict[str | None, int] | None = None, blo
                        F.expr("filter(transform(p.order, (x, t) -> if(x = i, t, null)), t -> t is not null)").alias("slots"))
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, int] | None, block_docs: int) -> tuple[DataFrame, dict[str, str]]:
+def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, int] | None, block_docs: int, slots_a_source: int = 0) -> tuple[DataFrame, dict[str, str]]:
     from .common import fresh, materialise
 
     names = {x: fresh(docs, f"mix_{x}") for x in ("bucket", "n", "first", "rows", "key", "block", "phase", "slot", "place", "weight", "period")}
     sizes = materialise(docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("docs")), "mix-sizes")
-    if (sources := sizes.count()) > MAX_SOURCES:
-        raise ValueError(f"{sources} sources; the schedule is made for {MAX_SOURCES} at most")
-    plan = materialise(schedule(sizes, weights, block_docs), "mix-plan")
+    sources = sizes.count()
+    make = schedule if sources <= FOLDED else long_schedule
+    plan = materialise(make(sizes, weights, block_docs, max(SLOTS, slots_a_source * sources)), "mix-plan")
+    if sources > FOLDED:
+        plan = plan.withColumn("block", F.explode(F.expr("sequence(base, base + used - 1)")))
+        plan = plan.select("source", "block", "phase", "weight", "period", F.expr("start + (block - base) div weight * period + get(slots, cast((block - base) % weight as int))").alias("at"))
     renamed = plan.select([F.col(c).alias(f"{names['slot']}_{c}") for c in plan.columns])
     p = lambda c: F.col(f"{names['slot']}_{c}")
     rows = numbered(docs, id_col, source_col, names).withColumn(names["block"], F.floor(F.col(names["n"]) / block_docs).cast("long"))
-    # At most MAX_SOURCES sources and phases: a broadcast of a proven size.
-    joined = rows.join(F.broadcast(renamed), F.col(source_col).eqNullSafe(p("source")) & (F.col(names["block"]) >= p("base")) & (F.col(names["block"]) < p("base") + p("used")))
-    local = F.col(names["block"]) - p("base")
-    slot = p("start") + F.floor(local / p("weight")) * p("period") + F.get(p("slots"), (local % p("weight")).cast("int"))
+    same = F.col(source_col).eqNullSafe(p("source"))
+    if sources > FOLDED:
+        joined = rows.join(renamed, same & (F.col(names["block"]) == p("block")))
+        slot = p("at")
+    else:
+        # At most FOLDED sources and phases: a broadcast of a proven size.
+        joined = rows.join(F.broadcast(renamed), same & (F.col(names["block"]) >= p("base")) & (F.col(names["block"]) < p("base") + p("used")))
+        local = F.col(names["block"]) - p("base")
+        slot = p("start") + F.floor(local / p("weight")) * p("period") + F.get(p("slots"), (local % p("weight")).cast("int"))
     placed = joined.withColumn(names["slot"], slot.cast("long")).withColumn(names["place"], (F.col(names["n"]) % block_docs).cast("long")).withColumn(names["phase"], p("phase").cast("long")).withColumn(names["weight"], p("weight")).withColumn(names["period"], p("period"))
     return placed, names
 
@@ -140,7 +213,7 @@ def ordered(docs: DataFrame, weights: dict[str | None, int] | None = None, id_co
     They follow from ids and sources alone: for ids that are neither null nor repeated, any
     order or partitioning of the rows gives the same ones.
     """
-    placed, names = _placed(docs, id_col, source_col, weights, block_docs)
+    placed, names = _placed(docs, id_col, source_col, weights, block_docs, SLOTS_A_SOURCE)
     at = names["slot"], names["place"]
     return placed.repartitionByRange(*at).sortWithinPartitions(*at).select(*[F.col(f"`{c}`") for c in docs.columns], *at), *at
 

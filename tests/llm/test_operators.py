@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from daybook.llm import bpe, line_quality, mixing, pii, secret_scan, sharding, simhash, tiff, token_blocks, toxicity
 from daybook.llm.common import ready
@@ -281,6 +282,36 @@ def test_mix_deviation_and_wholeness(spark, tmp_path):
                 assert abs(done - t * w / period) < 1
 
 
+def test_long_schedules_are_the_folded_ones(spark, monkeypatch):
+    ready(spark)
+    rng = random.Random(12)
+    for n in (1, 3, 12):
+        sizes = spark.createDataFrame([(f"s{k}" if k else None, rng.choice([1, 16, 17, 200, 9000])) for k in range(n)], "source string, docs bigint")
+        for slots in (12, 360):
+            plans = [make(sizes, None, 16, slots).collect() for make in (mixing.schedule, mixing.long_schedule)]
+            folded, long = [sorted((r.phase, r.source or "", r.start, r.period, r.weight, r.base, r.used, r.slots[: min(r.used, r.weight)]) for r in p) for p in plans]
+            assert folded == long
+    docs = table(spark, [(k, "t", "en", "hot" if k % 3 else f"s{k % 7}", 1) for k in range(900)] + [(1000, None, None, None, None)])
+    want = sorted(map(tuple, mixing.positions(docs).collect()), key=repr)
+    monkeypatch.setattr(mixing, "FOLDED", 1)
+    assert sorted(map(tuple, mixing.positions(docs).collect()), key=repr) == want
+
+
+def test_many_sources_are_mixed_in_proportion(spark):
+    ready(spark)
+    rows = [(k, "t", "en", "hot" if k % 3 == 0 else f"s{k % 2999}", 1) for k in range(30_000)]
+    docs = table(spark, rows).withColumn("n_chars", F.lit(1)).repartition(4)
+    got = mixing.positions(docs).collect()
+    assert len({r.source for r in got}) == 3000 and sorted(r.doc_id for r in got) == list(range(30_000)) and len({(r.slot, r.place) for r in got}) == 30_000
+    out, slot, _ = mixing.ordered(docs)
+    placed = out.select("source", slot).distinct().collect()
+    assert out.count() == 30_000
+    wanted = 100 / (100 + sum(np.sqrt(np.unique([r[3] for r in rows if r[3] != "hot"], return_counts=True)[1])))
+    # The first phase: every source still has blocks.
+    first = [r["source"] for r in sorted(placed, key=lambda r: r[slot])][:2000]
+    assert abs(first.count("hot") / 2000 / wanted - 1) < 0.1
+
+
 def test_given_weights_and_order(spark):
     ready(spark)
     docs = table(spark, [(k, "t", "en", "ab"[k % 2], 1) for k in range(640)])
