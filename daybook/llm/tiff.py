@@ -28,7 +28,6 @@ ROWS_A_STRIP = 1024
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773  # fixed values of the format
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}  # bytes of each field type
 CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
-MAX_PAGES = 1 << 16
 
 
 def packbits_decode(data: bytes) -> bytes:
@@ -210,7 +209,7 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
         raise ValueError("not a TIFF file")
     order = "<" if data[:2] == b"II" else ">"
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
-    while at and at not in seen and len(seen) < MAX_PAGES:
+    while at and at not in seen:
         seen.add(at)
         fields = {}
         (n,) = struct.unpack_from(order + "H", data, at)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -168,6 +169,12 @@ def test_pages_operator_reports_broken_files(spark):
     assert not any(ok for _, _, ok in count("text")) and not count("cut")[-1][2]
 
 
+def test_files_of_very_many_pages_are_read_to_the_end():
+    n = 70_000
+    chain = b"".join(struct.pack("<HI", 0, 14 + 6 * k if k < n - 1 else 0) for k in range(n))
+    assert sum(1 for _ in tiff.directories(b"II*\0" + struct.pack("<I", 8) + chain)) == n
+
+
 def test_media_of_texts(spark, tmp_path):
     rows = hard_rows()
     got = tiff.op3(spark, put(crowded(spark), tmp_path)).collect()
