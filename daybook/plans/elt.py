@@ -215,6 +215,16 @@ def retained(chat: DataFrame, now: str, days: int = 14) -> DataFrame:
     return chat.filter(F.col("created_at") >= F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+def nightly(ghcn: DataFrame, acis: DataFrame, allowed: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """(converted archive, merged rows), each computed once: ``keep`` writes a table and gives it back as read.
+
+    What follows (pivot, QC, revisions) starts from these two instead of planning the raw chain
+    anew for each use and each cutoff.
+    """
+    clean = keep(convert(blank_flagged(ghcn, allowed)))
+    return clean, keep(by_precedence(union_sources(clean, map_codes(acis)), cutoff(clean)))
+
+
 class Store:
     """Tables as Parquet folders; an upsert writes a new version and then names it current.
 
@@ -241,6 +251,19 @@ class Store:
         df.write.parquet(f"{self.root}/{name}/{version}")
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
 
+    def purge(self, name: str, spare: int = 1) -> int:
+        """Deletes versions that are not current, but for the ``spare`` newest of them, which late
+        readers may still hold; gives the number deleted."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        current = self.spark.read.text(self._pointer(name)).first()[0]
+        old = [(f.getModificationTime(), f.getPath()) for f in files.listStatus(folder) if f.getPath().getName().startswith("v-") and f.getPath().getName() != current]
+        gone = sorted(old, key=lambda x: x[0], reverse=True)[spare:]
+        for _, path in gone:
+            files.delete(path, True)
+        return len(gone)
+
     def upsert(self, name: str, df: DataFrame, keys: list[str], update: Column | None = None, keep: tuple[str, ...] = ()) -> None:
         """Creates the table or merges into it; an empty source changes nothing."""
         if not self.exists(name):
