@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_year, rounded, season_day
-from ..functions.vocabulary import NORMAL_SHARE, SMOOTHING
+from ..functions.vocabulary import AMOUNTS, NORMAL_SHARE, SMOOTHING
 
 
 def day_normals(climatology: DataFrame, years: int) -> DataFrame:
@@ -76,6 +76,21 @@ def histogram_stats(counts: DataFrame) -> DataFrame:
     return counts.groupBy("station_id").agg(p(0.5).alias("median"), p(0.1).alias("p10"), p(0.9).alias("p90"), F.max_by("value", F.struct("count", -F.col("value"))).alias("mode"), F.sum("count").alias("n"))
 
 
+def without_zeros(counts: DataFrame, metric: str) -> DataFrame:
+    """A histogram of amounts leaves out the days with none."""
+    return counts.filter(F.col("value") > 0) if metric in AMOUNTS else counts
+
+
+def whole_bins(counts: DataFrame, width: float) -> DataFrame:
+    """Counts by bin from the lowest value's on, with the empty ones between: bin, bin_end, count and percent."""
+    low = F.floor(F.min("value") / width)
+    spans = counts.groupBy("station_id").agg(low.alias("a"), F.floor(F.max("value") / width + 1e-9).alias("b"), F.sum("count").alias("total"))
+    grid = spans.select("station_id", "total", F.explode(F.sequence("a", "b")).alias("k"))
+    filled = counts.groupBy("station_id", F.floor(F.col("value") / width + 1e-9).alias("k")).agg(F.sum("count").alias("count"))
+    made = grid.join(filled, ["station_id", "k"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return made.select("station_id", F.round(F.col("k") * width, 2).alias("bin"), F.round((F.col("k") + 1) * width, 2).alias("bin_end"), "count", rounded(100 * F.col("count") / F.col("total"), 1).alias("pct"))
+
+
 def bins(counts: DataFrame, width: float) -> DataFrame:
     """Counts by bin of the given width, and their share in percent."""
     made = counts.groupBy("station_id", (F.floor(F.col("value") / width) * width).cast("double").alias("bin")).agg(F.sum("count").alias("count"))
@@ -103,6 +118,42 @@ def date_summary(found: DataFrame, column: str, start_month: int = 1) -> DataFra
     return made.select("station_id", F.get("ds", F.floor(F.size("ds") / 2).cast("int")).alias("typical_day"), F.col("lo.d").alias("earliest_day"), (-F.col("lo.y")).alias("earliest_year"), F.col("hi.d").alias("latest_day"), F.col("hi.y").alias("latest_year"), "years_counted", "years_without")
 
 
+def date_answer(found: DataFrame, column: str, start_month: int = 1) -> DataFrame:
+    """One row a station from its yearly dates. Of one year: its date. Of several: the upper median by day
+    of season, all dates of the earliest and of the latest day, and the years with and without.
+
+    A station's years are few, so their list is bounded.
+    """
+    date, day = F.col(column), season_day(F.col(column), start_month)
+    rows = found.withColumn("_p", F.when(date.isNotNull(), F.struct(day.alias("d"), date.alias("date"))))
+    made = rows.groupBy("station_id").agg(
+        F.sort_array(F.collect_list("_p")).alias("p"), F.count("*").alias("years_counted"), F.count_if(date.isNull()).alias("years_without"), F.min("year").alias("first_year"), F.max("year").alias("last_year")
+    )
+    one, some = F.col("years_counted") == 1, F.size("p") > 0
+    many = ~one & some
+    tied = lambda k: F.when(many, F.array_sort(F.transform(F.filter("p", lambda x: x["d"] == F.element_at("p", k)["d"]), lambda x: x["date"])))
+    return made.select(
+        "station_id", F.when(one & some, F.element_at("p", 1)["date"]).alias("value"), F.when(one, F.col("first_year")).alias("bucket_year"),
+        F.when(many, F.date_format(F.element_at("p", (F.floor(F.size("p") / 2) + 1).cast("int"))["date"], "MM-dd")).alias("typical_date"),
+        tied(1).alias("earliest_on_record"), tied(-1).alias("latest_on_record"),
+        F.when(~one, F.col("first_year")).alias("first_year"), F.when(~one, F.col("last_year")).alias("last_year"), "years_counted", "years_without",
+    )
+
+
+def calendar_day(climatology: DataFrame, day: str, what: str) -> DataFrame:
+    """One calendar day of a :func:`..periods.day_of_year` result: what is "max" or "min" (the record and its
+    latest year), "any" (percent of years) or "mean" (the normal, smoothed over the days around it)."""
+    own = climatology.filter(F.col("day") == day)
+    if what == "mean":
+        value, year = F.col("smoothed"), F.lit(None).cast("int")
+        own = own.join(smoothed(climatology).filter(F.col("day") == day).drop("day"), "station_id")
+    elif what == "any":
+        value, year = rounded(100 * F.col("value"), 1), F.lit(None).cast("int")
+    else:
+        value, year = F.col(what), F.col(f"{what}_year")
+    return own.select("station_id", F.col("day").alias("calendar_day"), value.alias("value"), "n_years", year.alias("record_year"))
+
+
 def days_observed(days: DataFrame, start: str, end: str, months: list[int] | None = None) -> DataFrame:
     """Days with a value, and days that the range has."""
     calendar = F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))

@@ -46,13 +46,20 @@ def ranked(rows: DataFrame, order: list[str], limit: int | None = None, lowest:
     return kept.withColumn("_n", F.row_number().over(place)).withColumn("rows_truncated", F.count("*").over(w) > ROW_CAP).filter(F.col("_n") <= ROW_CAP).drop("_n")
 
 
-def extreme_days(days: DataFrame, lowest: bool = False) -> DataFrame:
-    """The extreme value's days (at most ``ROW_CAP``, latest first); is_answer marks the latest."""
+def extremes(rows: DataFrame, at: list[str], lowest: bool = False) -> DataFrame:
+    """Rows of each station's extreme value (at most ``ROW_CAP``, latest by ``at`` first); is_answer
+    marks the latest, n_ties counts all of them. Null values don't count."""
     w = Window.partitionBy("station_id")
     key = F.round(-F.col("value") if lowest else F.col("value"), 2)
-    top = days.filter(F.col("value").isNotNull()).withColumn("r", F.dense_rank().over(w.orderBy(F.desc_nulls_last(key)))).filter("r = 1")
-    n = F.row_number().over(w.orderBy(F.desc("obs_date")))
-    return top.withColumn("n", n).filter(F.col("n") <= ROW_CAP).select("station_id", "obs_date", "value", (F.col("n") == 1).alias("is_answer"))
+    top = rows.filter(F.col("value").isNotNull()).withColumn("_r", F.dense_rank().over(w.orderBy(F.desc_nulls_last(key)))).filter("_r = 1").drop("_r")
+    n = F.row_number().over(w.orderBy(*[F.desc_nulls_last(c) for c in at]))
+    made = top.withColumn("_n", n).withColumn("n_ties", F.count("*").over(w)).filter(F.col("_n") <= ROW_CAP)
+    return made.withColumn("is_answer", F.col("_n") == 1).drop("_n")
+
+
+def extreme_days(days: DataFrame, lowest: bool = False) -> DataFrame:
+    """The extreme value's days, by :func:`extremes`."""
+    return extremes(days, ["obs_date"], lowest).select("station_id", "obs_date", "value", "is_answer")
 
 
 def matching_days(days: DataFrame, lowest: bool = False, enough: int = 5) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_year, collapse, compare, covered, decimals, month_days, rounded, window_days
 from ..functions.vocabulary import SEASONS, WEEK_DAYS
+from .daily import extremes
 
 
 def season_window(season: str) -> tuple[int, list[int]]:
@@ -38,6 +39,14 @@ def period_stats(found: DataFrame, *how: str) -> DataFrame:
     return found.groupBy("station_id").agg(*[made[h]("value").alias(h) for h in how], F.count("*").alias("n_buckets"), F.min(at).alias("first_bucket"), F.max(at).alias("last_bucket"))
 
 
+def extreme_periods(found: DataFrame, lowest: bool = False) -> DataFrame:
+    """The complete buckets of the extreme value, latest first, with the number, first and last of all of them."""
+    w = Window.partitionBy("station_id")
+    at = F.col("bucket_year") * 100 + F.coalesce("bucket_month", F.lit(0))
+    counted = found.withColumns({"n_buckets": F.count("*").over(w), "first_bucket": F.min(at).over(w), "last_bucket": F.max(at).over(w)})
+    return extremes(counted, ["bucket_year", "bucket_month"], lowest)
+
+
 def period_count(found: DataFrame, op: str, threshold: float) -> DataFrame:
     """Buckets that meet a threshold, of how many."""
     return found.groupBy("station_id").agg(F.count_if(F.coalesce(compare(F.col("value"), op, threshold), F.lit(False))).cast("double").alias("value"), F.count("*").alias("n_buckets"))

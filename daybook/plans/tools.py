@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
 from datetime import date
 
 from ..functions import dates
@@ -100,3 +102,35 @@ def chart_station_difference(today: date, metric: str, a: str, b: str, **period)
 
 def chart_climograph(rain: str = "PRCP", station: str | None = None) -> list[Query]:
     return [Query(m, "series", "month_of_year", display="climograph", station=station) for m in ("TMAX", "TMIN", rain)]
+
+
+def chart_ranking(today: date, metric: str, of: str, order: str = "highest", n: int | None = None, measure: str | None = None, season: str | None = None, months: tuple[int, ...] | None = None, station: str | None = None, **period) -> Query:
+    """A ranking as bars: of days, storms, or whole months, years, seasons or snow seasons."""
+    if of != "storm" and measure:
+        raise ValueError("a measure is for storms")
+    if of in ("day", "storm") and season:
+        raise ValueError("a season is for whole periods; days take months")
+    if of == "storm" and months:
+        raise ValueError("storms take no months")
+    how = {"highest": "top", "lowest": "bottom"}[order]
+    if of == "storm":
+        return Query(metric, how, "event", event_value=measure or "total", limit=n, station=station, **_period(today, **period))
+    return Query(metric, how, of, limit=n, season=season, months=months, station=station, **_period(today, **period))
+
+
+def dates_meant(q: Query, question: str) -> Query:
+    """A yearly "earliest" or "latest" with a threshold can only mean a first or last date: which one, the
+    question's "first" or "last" says, else earliest is first."""
+    if q.aggregation not in ("earliest", "latest") or q.unit not in ("year", "snow_season") or q.threshold is None:
+        return q
+    words = question.lower()
+    first = "first" in words if ("first" in words) != ("last" in words) else q.aggregation == "earliest"
+    return replace(q, aggregation="first_date" if first else "last_date")
+
+
+def grain_meant(q: Query, question: str) -> Query:
+    """A monthly series over a year or less becomes daily where the question asks for days."""
+    if q.aggregation != "series" or q.unit != "month" or not re.search(r"\b(daily|each day|every day|day by day)\b", question, re.I):
+        return q
+    span = (date.fromisoformat(q.end) - date.fromisoformat(q.start)).days
+    return replace(q, unit="day", period_aggregation=None, trend=False) if span <= v.DAILY_SPAN else q
