@@ -67,9 +67,16 @@ def station_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.select(*out, F.col(line).alias("raw_line"))
 
 
+def history_file(spark, path: str) -> DataFrame:
+    """Lines of a landed station history, whose letters are Latin-1: (value)."""
+    return spark.read.option("encoding", "ISO-8859-1").option("sep", "\x00").option("quote", "").schema("value string").csv(path)
+
+
 def history_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Station history: ten fields, blank ones null; blank lines are dropped."""
-    return lines.filter(F.trim(line) != "").select(*[blank_to_null(field(F.col(line), at)).alias(n) for n, at in HISTORY_FIELDS.items()])
+    """Station history: ten fields, blank ones null; blank lines are dropped, and the two lines of column
+    names and dashes that head the file, which have no number in the first field where a record has one."""
+    head = F.trim(line).rlike("^[- ]+$") | F.upper(field(F.col(line), HISTORY_FIELDS["beg_dt"])).rlike("[A-Z]")
+    return lines.filter((F.trim(line) != "") & ~head).select(*[blank_to_null(field(F.col(line), at)).alias(n) for n, at in HISTORY_FIELDS.items()])
 
 
 def country_lines(lines: DataFrame, line: str = "value") -> DataFrame:
