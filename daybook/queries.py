@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .operators import analysis as an
 from .operators import daily, periods, records
 from .operators import events as ev
-from .plans import answers, elt, stations
+from .plans import answers, charts, elt, stations, work
 from .plans import query as structured
 from .sources import adapters as ad
 from .sources import parse
@@ -620,7 +620,7 @@ _NOQC = _CONV.replace("CASE WHEN g.qflag IS NOT NULL AND a.station_id IS NULL TH
 
 
 def _unchecked(s, d):
-    clean = elt.convert(ad.raw_ghcn(s, d))
+    clean = work.kept(elt.convert(ad.raw_ghcn(s, d)))
     return elt.by_precedence(elt.union_sources(clean, map_acis(s, d)), elt.cutoff(clean))
 
 
@@ -634,14 +634,15 @@ _BLANK = "bad AS (SELECT m.station_id, m.obs_date, m.variable FROM merged m LEFT
 
 @query("qc_to_wide", _w(_RAW, _NOQC, _PIVOT, _BLANK, "w AS (SELECT p.station_id, p.obs_date, " + ", ".join(f"CASE WHEN EXISTS (SELECT 1 FROM bad WHERE bad.station_id = p.station_id AND bad.obs_date = p.obs_date AND bad.variable = '{v}') THEN NULL ELSE p.{v} END AS {v}" for v in ("AWND", "PRCP", "SNOW", "SNWD", "TMAX", "TMIN")) + ", p.source FROM pivoted p)") + _DERIVED)
 def qc_to_wide(s, d):
-    merged = _unchecked(s, d)
+    merged = work.kept(_unchecked(s, d))
     return elt.qc_to_wide(elt.derived(elt.pivoted(merged)), elt.qc_cleanup(merged, ad.allowlist(s, d)))
 
 
 @query("revision_sync", _w(_RAW, _CONV) + "SELECT m.* REPLACE (CASE WHEN m.source = 'GHCN' AND day(m.obs_date) % 3 = 0 AND c.value IS NOT NULL THEN c.value + 1 ELSE m.value END AS value) FROM merged m LEFT JOIN ghcn_conv c USING (station_id, obs_date, variable)")
 def revision_sync(s, d):
     changed = F.when((F.day("obs_date") % 3 == 0) & F.col("value").isNotNull(), F.col("value") + 1).otherwise(F.col("value"))
-    return elt.revise(_merged(s, d), convert_ghcn(s, d).withColumn("value", changed))
+    clean, merged = elt.nightly(ad.raw_ghcn(s, d), ad.raw_acis(s, d), ad.allowlist(s, d), work.kept)
+    return elt.revise(merged, clean.withColumn("value", changed))
 
 
 _REV = "m2 AS (SELECT * REPLACE (CASE WHEN source = 'GHCN' AND day(obs_date) % 3 = 0 THEN value + 1 ELSE value END AS value) FROM merged)"
@@ -649,7 +650,7 @@ _REV = "m2 AS (SELECT * REPLACE (CASE WHEN source = 'GHCN' AND day(obs_date) % 3
 
 @query("revision_wide", _w(_RAW, _CONV, _REV, _PIVOT.replace("FROM merged", "FROM m2"), "w AS (SELECT * EXCLUDE (source) FROM pivoted)") + _DERIVED)
 def revision_wide(s, d):
-    merged = _merged(s, d)
+    _, merged = elt.nightly(ad.raw_ghcn(s, d), ad.raw_acis(s, d), ad.allowlist(s, d), work.kept)
     wide = elt.derived(elt.pivoted(merged).drop("source"))
     revised = merged.withColumn("value", F.when((F.col("source") == "GHCN") & (F.day("obs_date") % 3 == 0), F.col("value") + 1).otherwise(F.col("value")))
     return elt.revise_wide(wide, revised)
@@ -841,3 +842,142 @@ def ask_snowiest_season(s, d):
 @query("ask_json", _w(_SHORT, _days("obs_short", "SNWD", SHORT)) + """SELECT '{"station_id":"' || station_id || '","max":' || max(value) || ',"n_days":' || count(value) || '}' AS json FROM d GROUP BY station_id""")
 def ask_json(s, d):
     return structured.as_json(daily.day_stats(short(s, d, "SNWD"), "max"))
+
+
+# --- finished answers
+
+_SMOOTH = "q AS (SELECT station_id, day, value, row_number() OVER (PARTITION BY station_id ORDER BY day) AS i, count(*) OVER (PARTITION BY station_id) AS n FROM c), sm AS (SELECT a.station_id, a.day, round(avg(b.value), 4) AS smoothed FROM q a JOIN q b ON a.station_id = b.station_id AND least(abs(a.i - b.i), a.n - abs(a.i - b.i)) <= 7 GROUP BY 1, 2)"
+_BASE = ("1981-01-01", "2010-12-31")
+
+
+@query("calendar_day_normal", _w(_LONG, _days("obs_long", "TMAX", NORMAL), _DOY, _SMOOTH) + "SELECT station_id, day AS calendar_day, smoothed AS value, n_years, NULL::INT AS record_year FROM sm JOIN c USING (station_id, day) WHERE day = '07-04'")
+def calendar_day_normal(s, d):
+    return _ask(s, d, structured.Query("TMAX", "mean", "day_of_year", calendar_day="07-04"), ad.obs_long)
+
+
+@query("calendar_day_odds", _w(_LONG, _days("obs_long", "PRCP", NORMAL, hit="PRCP >= 0.05")) + "SELECT station_id, '06-15' AS calendar_day, round(100 * round(avg(hit), 3), 1) AS value, count(value) AS n_years, NULL::INT AS record_year FROM d WHERE value IS NOT NULL AND strftime(obs_date, '%m-%d') = '06-15' GROUP BY 1")
+def calendar_day_odds(s, d):
+    return _ask(s, d, structured.Query("PRCP", "mean", "day_of_year", calendar_day="06-15", period_aggregation="any", threshold=structured.Threshold(">=", 0.05)), ad.obs_long)
+
+
+@query("calendar_day_record", _w(_LONG, _days("obs_long", "TMIN", ("1800-01-01", TODAY)), _DOY) + "SELECT station_id, day AS calendar_day, min AS value, n_years, min_year AS record_year FROM c WHERE day = '01-15'")
+def calendar_day_record(s, d):
+    return _ask(s, d, structured.Query("TMIN", "min", "day_of_year", calendar_day="01-15"), ad.obs_long)
+
+
+def _date_answer_sql(which: str, start: str) -> str:
+    return f"""k AS (SELECT station_id, year, {which} AS dd, ({which} - {start})::INT AS x FROM f),
+p AS (SELECT station_id, list(dd ORDER BY x, dd) FILTER (x IS NOT NULL) AS l, min(x) AS lo, max(x) AS hi, count(*) AS years_counted, count(*) FILTER (dd IS NULL) AS years_without, min(year) AS a, max(year) AS b FROM k GROUP BY 1)
+SELECT station_id, CASE WHEN years_counted = 1 THEN l[1] END AS value, CASE WHEN years_counted = 1 THEN a END AS bucket_year, CASE WHEN years_counted > 1 THEN strftime(l[len(l) // 2 + 1], '%m-%d') END AS typical_date,
+  CASE WHEN years_counted > 1 THEN (SELECT string_agg(dd::VARCHAR, ',' ORDER BY dd) FROM k WHERE k.station_id = p.station_id AND k.x = lo) END AS earliest_on_record,
+  CASE WHEN years_counted > 1 THEN (SELECT string_agg(dd::VARCHAR, ',' ORDER BY dd) FROM k WHERE k.station_id = p.station_id AND k.x = hi) END AS latest_on_record,
+  CASE WHEN years_counted > 1 THEN a END AS first_year, CASE WHEN years_counted > 1 THEN b END AS last_year, years_counted, years_without FROM p"""
+
+
+def _dates_listed(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("earliest_on_record", "latest_on_record")})
+
+
+_FALL = "f AS (SELECT * FROM (SELECT station_id, year(obs_date)::INT AS year, min(obs_date) FILTER (hit = 1) AS first, count(value) AS n_days FROM d GROUP BY 1, 2) WHERE n_days >= 0.9 * 184)"
+
+
+@query("first_date_answer", _w(_LONG, _days("obs_long", "TMIN", LONG, "month(obs_date) >= 7", "TMIN <= 32"), _FALL, _date_answer_sql("first", "make_date(year::BIGINT, 1, 1)").split("\nSELECT")[0]) + "SELECT" + _date_answer_sql("first", "make_date(year::BIGINT, 1, 1)").split("\nSELECT", 1)[1])
+def first_date_answer(s, d):
+    """The first fall freeze of all years."""
+    return _dates_listed(_ask(s, d, structured.Query(None, "first_date", "year", condition="freeze", half_year=2, start=LONG[0], end=LONG[1]), ad.obs_long))
+
+
+@query("last_date_answer", _w(_LONG, _days("obs_long", "TMIN", ("2001-01-01", "2001-06-30"), hit="TMIN <= 32"), _FALL.replace("min(", "max(").replace("AS first", "AS last").replace("184", "181"), _date_answer_sql("last", "make_date(year::BIGINT, 1, 1)").split("\nSELECT")[0]) + "SELECT" + _date_answer_sql("last", "make_date(year::BIGINT, 1, 1)").split("\nSELECT", 1)[1])
+def last_date_answer(s, d):
+    """The last spring freeze of one year."""
+    return _dates_listed(_ask(s, d, structured.Query(None, "last_date", "year", condition="freeze", half_year=1, start="2001-01-01", end="2001-06-30"), ad.obs_long))
+
+
+@query("period_max_ties", _w(_LONG, _days("obs_long", "SNOW", LONG), _buckets("sum", "month")) + """SELECT station_id, bucket_year, bucket_month, value, n_buckets, first_bucket, last_bucket, n_ties, i = 1 AS is_answer FROM (
+  SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY bucket_year DESC, bucket_month DESC) AS i, count(*) OVER (PARTITION BY station_id) AS n_ties FROM (
+    SELECT station_id, bucket_year, bucket_month, round(value, 2) AS value, dense_rank() OVER (PARTITION BY station_id ORDER BY round(-value, 2) DESC) AS r, count(*) OVER (PARTITION BY station_id) AS n_buckets,
+      min(bucket_year * 100 + bucket_month) OVER (PARTITION BY station_id) AS first_bucket, max(bucket_year * 100 + bucket_month) OVER (PARTITION BY station_id) AS last_bucket FROM b) WHERE r = 1) WHERE i <= 15""")
+def period_max_ties(s, d):
+    """The least snowy months: many tie at none, and the latest one answers."""
+    found = _ask(s, d, structured.Query("SNOW", "min", "month", start=LONG[0], end=LONG[1]), ad.obs_long)
+    return found.select("station_id", "bucket_year", "bucket_month", F.round("value", 2).alias("value"), "n_buckets", "first_bucket", "last_bucket", "n_ties", "is_answer")
+
+
+_MBASE = "n AS (SELECT station_id, bucket_month, round(round(avg(value), 9), 1) AS normal, round(round(stddev(value), 9), 1) AS sd FROM b WHERE bucket_year BETWEEN 1981 AND 2010 GROUP BY 1, 2 HAVING count(*) >= 0.8 * 30)"
+_ANOM = "p AS (SELECT station_id, make_date(bucket_year::BIGINT, bucket_month::BIGINT, 1) AS x, bucket_year + (bucket_month - 0.5::DOUBLE) / 12 AS x_num, round(round(value, 9), 1) AS value, normal, round(normal - sd + 1e-9, 1) AS lower, round(normal + sd + 1e-9, 1) AS upper, round(round(round(value, 9), 1) - normal, 1) AS anomaly FROM b LEFT JOIN n USING (station_id, bucket_month))"
+
+
+@query("anomaly_answer", _w(_LONG, _days("obs_long", "TMAX", LONG), _buckets("mean", "month"), _MBASE, _ANOM, "t AS (SELECT station_id, round(regr_slope(anomaly, x_num) * 10, 2) AS per_decade FROM p WHERE anomaly IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)") + "SELECT station_id, x, value, normal, lower, upper, anomaly, per_decade FROM p LEFT JOIN t USING (station_id)")
+def anomaly_answer(s, d):
+    """Monthly departures from the 1981-2010 normals, and their trend."""
+    found = _ask(s, d, structured.Query("TMAX", "series", "month", display="anomaly", baseline=(1981, 2010), trend=True, period_aggregation="mean", start=LONG[0], end=LONG[1]), ad.obs_long)
+    return found.select("station_id", "x", "value", "normal", "lower", "upper", "anomaly", "per_decade")
+
+
+@query("running_total_answer", _w(_LONG, _days("obs_long", "SNOW", ("2018-07-01", "2019-06-30"))) + "SELECT station_id, obs_date AS x, value AS daily, round(sum(value) OVER (PARTITION BY station_id ORDER BY obs_date), 2) AS value, (obs_date - DATE '2018-07-01')::INT AS x_day FROM d WHERE value IS NOT NULL")
+def running_total_answer(s, d):
+    """A season's snow so far; the normal total beside it is tested on small tables."""
+    found = _ask(s, d, structured.Query("SNOW", "series", "day", display="cumulative", baseline=(1981, 2010), start="2018-07-01", end="2019-06-30"), ad.obs_long)
+    return found.select("station_id", "x", "daily", "value", "x_day")
+
+
+@query("climate_answer", _w(_LONG, _days("obs_long", "TMAX", ("1800-01-01", TODAY)), _DOY) + "SELECT station_id, obs_date AS x, d.value, c.max AS record_high, c.max_year AS record_high_year, CASE WHEN d.value >= c.max THEN 'high' END AS record_set FROM d JOIN c USING (station_id) WHERE strftime(obs_date, '%m-%d') = c.day AND d.value IS NOT NULL AND obs_date BETWEEN DATE '2019-01-01' AND DATE '2019-12-31'")
+def climate_answer(s, d):
+    found = _ask(s, d, structured.Query("TMAX", "series", "day", display="climate", baseline=(1981, 2010), start="2019-01-01", end="2019-12-31"), ad.obs_long)
+    return found.select("station_id", "x", "value", "record_high", "record_high_year", "record_set")
+
+
+@query("histogram_answer", _w(_LONG, _days("obs_long", "PRCP", LONG), "h AS (SELECT station_id, floor(round(value, 2) / 0.1::DOUBLE + 1e-9)::BIGINT AS k, count(*) AS n FROM d WHERE round(value, 2) > 0 GROUP BY 1, 2)", "g AS (SELECT station_id, unnest(range(min(k), max(k) + 1)) AS k, sum(n) AS total FROM h GROUP BY 1)") + "SELECT station_id, round(k * 0.1::DOUBLE, 2) AS bin, round((k + 1) * 0.1::DOUBLE, 2) AS bin_end, coalesce(n, 0)::BIGINT AS count, round(100 * coalesce(n, 0) / total, 1) AS pct FROM g LEFT JOIN h USING (station_id, k)")
+def histogram_answer(s, d):
+    """How much it rains on days with rain: days without aren't counted, empty bins are kept."""
+    return charts.series(ad.obs_long(s, d), structured.Query("PRCP", "series", "value", start=LONG[0], end=LONG[1]), date.fromisoformat(TODAY))
+
+
+@query("celsius_answer", _w(_SHORT, _days("obs_short", "TMAX", SHORT)) + "SELECT station_id, round((avg(value) - 32) * 5 / 9, 6) AS mean, count(value) AS n_days FROM d GROUP BY 1")
+def celsius_answer(s, d):
+    return r6(_ask(s, d, structured.Query("TMAX", "mean", "day", output_unit="C", start=SHORT[0], end=SHORT[1])), "mean")
+
+
+@query("difference_answer", _w(_SHORT, _days("obs_short", "TMAX", SHORT)) + "SELECT a.station_id, a.obs_date AS x, round(a.value - b.value, 2) AS value FROM d a JOIN d b USING (obs_date) WHERE a.station_id = 'RA' AND b.station_id = 'RR' AND a.value IS NOT NULL AND b.value IS NOT NULL AND a.obs_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'")
+def difference_answer(s, d):
+    pair = [structured.Query("TMAX", "series", "day", display="difference", station=x, start="1997-01-01", end="1997-12-31") for x in ("RA", "RR")]
+    return charts.chart(ad.obs_short(s, d), pair, date.fromisoformat(TODAY)).select("station_id", "x", "value")
+
+
+# --- places and stations by rule
+
+
+def _qualified(s, d):
+    """Every place is named Springfield and lies in a state of its nation's number."""
+    state = F.translate("admin1_name", "_", " ")
+    return ad.places(s, d).withColumns({"name_key": F.lit("springfield"), "admin1_code": F.regexp_extract("admin1_name", "([0-9]+)", 1), "admin1_name": state, "country_code": F.lit("US"), "country_name": F.lit("United States")})
+
+
+@query("place_qualified", _w(_STATIONS, "q AS (SELECT p.geonameid, p.population FROM places p JOIN supplier ON s_suppkey = geonameid JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_6')") + "SELECT geonameid, population FROM q ORDER BY population DESC, geonameid LIMIT 1")
+def place_qualified(s, d):
+    return stations.find_place(_qualified(s, d), "Springfield Nation 6").select("geonameid", "population")
+
+
+@query("station_choice", _w(_STATIONS, "pl AS (SELECT geonameid, CASE WHEN geonameid % 3 = 0 THEN 'nation' ELSE 'supplier' END AS key, latitude, longitude FROM places)",
+    "pr AS (SELECT geonameid, ghcn_id, key, 'nation' AS s_key, " + _MILES.format(a="p.latitude", b="s.latitude", c="p.longitude", d="s.longitude") + " AS dist FROM pl p, stations s WHERE selected AND wmo IS NOT NULL)",
+    "nr AS (SELECT * FROM (SELECT geonameid, ghcn_id, key, s_key, round(dist)::BIGINT AS miles, row_number() OVER (PARTITION BY geonameid ORDER BY round(dist), ghcn_id) AS n FROM pr WHERE dist <= 150) WHERE n <= 3)",
+    "ag AS (SELECT geonameid, min(n) FILTER (miles <= 50 AND key = s_key) AS same, count(*) FILTER (miles <= 10) AS close, min(n) FILTER (miles <= 10) AS only_n, min(miles) FILTER (n = 1) AS first_miles, string_agg(ghcn_id, ',' ORDER BY n) FILTER (n = 1 OR miles <= 50) AS offers FROM nr GROUP BY 1)",
+    "ch AS (SELECT geonameid, CASE WHEN same IS NOT NULL THEN 'same city' WHEN close = 1 THEN 'only one' WHEN first_miles IS NOT NULL THEN 'ask' ELSE 'none' END AS how, coalesce(same, CASE WHEN close = 1 THEN only_n END) AS pick, first_miles, offers FROM pl LEFT JOIN ag USING (geonameid))") + """
+SELECT ch.geonameid, how, nr.ghcn_id, coalesce(nr.miles, first_miles) AS miles, CASE WHEN how = 'ask' THEN offers END AS offers, CASE WHEN how = 'ask' THEN first_miles > 50 END AS far FROM ch LEFT JOIN nr ON nr.geonameid = ch.geonameid AND nr.n = pick""")
+def station_choice(s, d):
+    named = ad.places(s, d).withColumn("place_name", F.when(F.col("geonameid") % 3 == 0, "Nation").otherwise(F.col("place_name")))
+    found = stations.choose(named, ad.stations(s, d).withColumn("city", F.regexp_replace("city", "_[0-9]+", "")))
+    return found.withColumn("offers", F.array_join("offers", ","))
+
+
+@query("home_locations", _w(_STATIONS) + "SELECT icao AS code, city || ', ST (' || icao || ')' AS label FROM stations WHERE selected AND wmo IS NOT NULL")
+def home_locations(s, d):
+    return stations.home_locations(ad.stations(s, d))
+
+
+@query("station_codes", _w(_STATIONS) + "SELECT ghcn_id, CASE WHEN wmo IS NOT NULL THEN 'X' || substr(icao, 2) ELSE icao END AS icao, CASE WHEN wmo IS NOT NULL THEN 'new' END AS note FROM stations")
+def station_codes(s, d):
+    """Codes merged in by station; a column that the table lacks is added."""
+    st = ad.stations(s, d).select("ghcn_id", "icao", "wmo")
+    codes = st.filter("wmo IS NOT NULL").select("ghcn_id", F.concat(F.lit("X"), F.substring("icao", 2, 9)).alias("icao"), F.lit("new").alias("note"))
+    return elt.upsert(st.drop("wmo"), codes, ["ghcn_id"])
