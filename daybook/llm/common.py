@@ -1,37 +1,55 @@
-"""Helpers that every corpus operator shares: shared storage, names, readers."""
+"""Helpers that every corpus operator shares: shared storage, workers, names, readers."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import uuid
+import weakref
+import zipfile
+from collections.abc import Callable, Hashable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+PACKAGE = Path(__file__).resolve().parents[1]
+#: Texts are long rows: fewer of them at a time, between JVM and workers and from files.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "1024"}
+#: Row groups of written texts: what a task holds while it writes.
+ROW_GROUP_BYTES = 16 << 20
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_written: dict[str, SparkSession] = {}
+_ready: set[str] = set()
+
+
+def is_local(spark: SparkSession) -> bool:
+    """One JVM on one machine, as in tests."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and "cluster" not in master
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none, a local session (one machine, as in tests)
-    gets a folder of its own, removed at exit, and a cluster session uses a
-    folder beside its warehouse.
+    Where it is unset, a local session gets a folder of its own, removed at exit;
+    a cluster session is refused, since no other folder is known to be shared.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if sc.master.startswith("local") and "cluster" not in sc.master:
-        own = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        os.makedirs(own)
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
-        return sc.getCheckpointDir().rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    if not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    os.makedirs(own)
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -39,26 +57,114 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
     This cuts the lineage: later stages, and retries after a lost executor,
-    start from the written table.
+    start from the written table. ``instead_of`` is a materialised table that nothing
+    reads once this one stands; it is deleted.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(sweep)
+    _written[path] = spark
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _paths[made] = path
+    if instead_of is not None:
+        discard(instead_of)
+    return made
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what :func:`materialise` wrote for this table; other tables are left alone."""
+    path = _paths.pop(table, None)
+    if path:
+        delete(table.sparkSession, path)
+
+
+def written() -> frozenset[str]:
+    """The work tables that stand now, for :func:`sweep`."""
+    return frozenset(_written)
+
+
+def sweep(before: frozenset[str] = frozenset(), but: DataFrame | None = None) -> None:
+    """Deletes the work tables that were written since ``before``, except ``but``'s own.
+
+    For whoever has stored what was made from them; runs over all at the end of the driver.
+    """
+    spared = _paths.get(but) if but is not None else None
+    for path, spark in list(_written.items()):
+        if path not in before and path != spared:
+            try:
+                delete(spark, path)
+            except Exception:  # noqa: BLE001  the session is gone, or goes: its folder is left to its owner
+                _written.pop(path, None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder through Spark's own file systems."""
+    _written.pop(path, None)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ready(spark: SparkSession) -> None:
-    """Python workers can import this package; Arrow batches stay small in rows and bytes."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")
+    """Workers can import this package, and batches stay small unless the session sets their size.
+
+    A cluster gets the package as a zip file, once a context, by way of the shared folder.
+    """
+    for key, value in SMALL.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    sc = spark.sparkContext
+    if is_local(spark) or sc.applicationId in _ready:
+        return
+    _ready.add(sc.applicationId)
+    folder = work_path(spark, "package")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{PACKAGE.name}.zip")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(_zipped()))
+    out.close()
+    sc.addPyFile(f"{folder}/{PACKAGE.name}.zip")
+
+
+def _zipped() -> bytes:
+    import io
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, str(f.relative_to(PACKAGE.parent)))
+    return data.getvalue()
+
+
+_held: list[tuple[Hashable, object]] = []
+
+
+def held(key: Hashable = None, make: Callable[[], object] | None = None):
+    """What a worker keeps from task to task: one thing, made at its first use.
+
+    Workers are used again by other stages. Asking for another key, or none, lets go of
+    what was held, so an encoder's tables don't stay in memory beside the next stage's.
+    """
+    if not _held or _held[0][0] != key:
+        let_go = bool(_held) and _held[0][0] is not None
+        _held.clear()
+        if let_go:
+            trim()
+        _held.append((key, make() if make else None))
+    return _held[0][1]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
