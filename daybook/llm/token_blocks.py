@@ -33,22 +33,38 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import documents, held, trim, work_path
+
 MAGIC = b"PFOR0001"
 BLOCK = 128
 PERCENTILE = 0.9
 FILE_IDS = 1 << 21
-MEMO_WORDS = 1_300_000
+#: Blocks that are packed or unpacked at a time, which bounds the memory for their bits.
+STEP_BLOCKS = 1024
+#: Of a worker's memo of words; words of over ``MEMO_CHARS`` bytes aren't kept.
+MEMO_BYTES = 96 << 20
+MEMO_CHARS = 32
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[np.ndarray, ...]:
     """Blocks of u32 ids: minima, widths, exceptions a block, starts, positions, high bits, packed bytes."""
+    step = block * STEP_BLOCKS
+    parts = [_pack(ids[k : k + step], block, percentile) for k in range(0, max(1, len(ids)), step)]
+    before = 0
+    for part in parts:
+        part[3][:] += np.uint64(before)
+        before += len(part[6])
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _pack(ids: np.ndarray, block: int, percentile: float) -> tuple[np.ndarray, ...]:
     n = len(ids)
     blocks = -(-n // block)
     full = np.full(blocks * block, ids[-1] if n else 0, np.uint32)
@@ -78,6 +94,16 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
 
 def unpack(n: int, low: np.ndarray, width: np.ndarray, counts: np.ndarray, starts: np.ndarray, positions: np.ndarray, high: np.ndarray, packed: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """The ids that :func:`pack` packed."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    out = [np.zeros(0, np.uint32)]
+    for k in range(0, len(low), STEP_BLOCKS):
+        at = slice(k, k + STEP_BLOCKS)
+        own = slice(int(ends[k - 1]) if k else 0, int(ends[at][-1]))
+        out.append(_unpack(low[at], width[at], counts[at], starts[at], positions[own], high[own], packed, block))
+    return np.concatenate(out)[:n]
+
+
+def _unpack(low: np.ndarray, width: np.ndarray, counts: np.ndarray, starts: np.ndarray, positions: np.ndarray, high: np.ndarray, packed: np.ndarray, block: int) -> np.ndarray:
     grid = np.zeros((len(low), block), np.uint32)
     for w in np.unique(width):
         if w:
@@ -93,7 +119,7 @@ def unpack(n: int, low: np.ndarray, width: np.ndarray, counts: np.ndarray, start
             grid[own] = word.view("<u4")[:, :, 0]
     row = np.repeat(np.arange(len(low)), counts)
     grid[row, positions] |= (high.astype(np.uint64) << width[row].astype(np.uint64)).astype(np.uint32)
-    return (grid + low[:, None]).reshape(-1)[:n]
+    return (grid + low[:, None]).reshape(-1)
 
 
 def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, first: int) -> bytes:
@@ -136,15 +162,20 @@ class Encoder(dict):
     Where the tokenizer drops white space and splits at it, a text's ids are the ids
     of its words in turn; each distinct word then goes through the library's
     normalizer, splitter and model once a worker (this dictionary, from a word to its
-    packed ids, is bounded and emptied when full). For printable text below U+0250 the
+    packed ids, and the half that it replaced when it was full are bounded in bytes). For printable text below U+0250 the
     normalizer only lowers letters, and the split is that of ``PLAIN_PIECES``, so the
     pieces of such words go straight to the model. Words that hold a special token's opening, and all texts of other
     tokenizers, are encoded by the library in one call.
     """
 
-    def __init__(self, path: str):
+    #: Of an entry in a dictionary, besides its key and value.
+    SLOT = 60
+
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
+        self.most, self.size, self.old = memo_bytes // 2, 0, {}
+
         self.library = Tokenizer.from_file(path)
         with open(path) as f:
             config = json.load(f)
@@ -159,6 +190,19 @@ class Encoder(dict):
         return struct.pack(f"<{len(known)}I", *[t.id for t in known])
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.made(word)
+        if len(word) <= MEMO_CHARS:
+            self.size += getsizeof(word) + getsizeof(ids) + self.SLOT
+            if self.size > self.most:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def made(self, word: bytes) -> bytes:
+        """The ids of a word by the library."""
         text = word.decode()
         lower = text.lower()
         low = word.isascii() or (max(text) < PLAIN_END and max(lower) < PLAIN_END)
@@ -171,9 +215,6 @@ class Encoder(dict):
         else:
             found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             ids = b"".join(struct.pack("<I", t.id) for p, _ in found for t in self.library.model.tokenize(p))
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = ids
         return ids
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
@@ -200,16 +241,28 @@ def splits_at_space(config: dict) -> bool:
     return plain and split and rest and model and added
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """The tokenizer at ``path``, kept in a worker until another stage wants something else."""
+    return held(("words", path), lambda: Encoder(path))
 
 
-def put(directory: str, name: str, data: bytes, attempt: str) -> None:
-    """Writes a file whole: under a name of this attempt's own, then renamed."""
+#: Spark's names of file systems that Arrow knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def file_system(directory: str):
+    """Arrow's file system of a folder that Spark names, and the folder's path in it."""
     from pyarrow import fs
 
-    where, base = fs.FileSystem.from_uri(directory) if "://" in directory or directory.startswith("file:") else (fs.LocalFileSystem(), directory)
+    scheme, found, rest = directory.partition(":")
+    if not found or not re.fullmatch("[A-Za-z][A-Za-z0-9+.-]*", scheme):
+        return fs.LocalFileSystem(), directory
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def put(directory: str, name: str, data: bytes, attempt: str) -> None:
+    """Writes a file whole: under a name of this attempt's own, then renamed."""
+    where, base = file_system(directory)
     where.create_dir(base, recursive=True)
     with where.open_output_stream(f"{base}/.{name}.{attempt}") as out:
         out.write(data)
@@ -257,6 +310,8 @@ def write(docs: DataFrame, directory: str, make_encoder: Callable[[], Encoder],
                     yield close()
         if ids:
             yield close()
+        del made
+        trim()
 
     return ordered.mapInArrow(run, "part int, file string, n_docs bigint, n_ids bigint")
 
@@ -275,6 +330,7 @@ def read(spark: SparkSession, directory: str, manifest: DataFrame, with_ids: boo
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()  # a worker that wrote lets go of its encoder
         for batch in batches:
             for k in range(batch.num_rows):
                 part = int(batch.column(0)[k].as_py().rsplit("/", 1)[1].split("-")[1])
@@ -287,6 +343,7 @@ def read(spark: SparkSession, directory: str, manifest: DataFrame, with_ids: boo
                 if with_ids:
                     columns, names = [*columns, pa.array([bytes(x) for x in cut], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
     # Spark packs files into tasks by size; a file is bounded by FILE_IDS and one document.
     return files.mapInArrow(run, schema)
@@ -296,8 +353,6 @@ def op1(spark, sf_dir: str) -> DataFrame:
     """``documents`` in PFOR files by the public word-end vocabulary, read back."""
     import public_tokenizers
 
-    from .common import documents, work_path
-
     docs, directory = documents(spark, sf_dir), work_path(spark, "pfor")
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     listed = work_path(spark, "pfor-manifest")
