@@ -4,10 +4,10 @@ Per document: word and symbol counts, repeated lines and repeated five-word wind
 (all within the row, no shuffle). Across documents: lines are normalised (A-Z to
 lower case, digits to 0, white space runs to one space) and hashed, and the
 documents of a host (column ``source``) that have a line are counted, a line once a
-document. A line is over the limit if over ``MIN_DOCS`` documents of the host have it
-and these are over ``1 / SHARE`` of the host's documents. Lines over the limit are
-removed, but for the host's first document (smallest id) that has the line.
-A document that loses over ``LOSS`` percent of its words is depleted and rejected.
+document. A line that over ``MOST_DOCS`` documents of the host have is over the limit,
+whatever the host's size, and is removed from all of them (:func:`judge` can spare the
+host's first document, that of the smallest id). A document that loses over ``LOSS``
+percent of its words is depleted and rejected.
 
 Rows move three times, as (host, hash) and small numbers, never as text: a count
 with partial sums, a join of lines to the few that are over the limit, and a sum
@@ -25,8 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_DOCS = 20
-SHARE = 100
+from .common import documents, materialise
+
+MOST_DOCS = 20
 LOSS = 70
 WINDOW = 5
 MIN_WORDS = 10
@@ -101,22 +102,20 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     ).select("row", "doc_id", "host", "a.n_words", "word_chars", "n_symbols", "b.n_dup_lines", "a.n_repeat_words", "b.lines")
 
 
-def over_limit(rows: DataFrame) -> DataFrame:
+def over_limit(rows: DataFrame, most_docs: int = MOST_DOCS) -> DataFrame:
     """(host, h, first_doc, n_docs) of the lines that too many documents of a host have."""
     once = rows.select("host", "doc_id", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
-    counted = once.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") > MIN_DOCS)
-    hosts = rows.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("host_docs"))
-    return counted.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n_docs") * SHARE > F.col("host_docs")).select("host", "h", "first_doc", "n_docs")
+    return once.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") > most_docs)
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, most_docs: int = MOST_DOCS, spare_first: bool = False) -> DataFrame:
     """Per row: the base counts, base_failed, kept, n_removed_words and n_removed_lines."""
-    from .common import materialise
-
     rows = materialise(measured(docs), "line-counts")
-    over = over_limit(rows).select(F.col("host").alias("of"), F.col("h").alias("hash"), "first_doc")
+    over = over_limit(rows, most_docs).select(F.col("host").alias("of"), F.col("h").alias("hash"), "first_doc")
     lines = rows.select("row", "doc_id", "host", F.explode("lines").alias("line")).select("row", "doc_id", "host", "line.h", "line.w")
-    cut = lines.join(over, (F.col("h") == F.col("hash")) & F.col("host").eqNullSafe(F.col("of"))).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    cut = lines.join(over, (F.col("h") == F.col("hash")) & F.col("host").eqNullSafe(F.col("of")))
+    if spare_first:
+        cut = cut.filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     lost = cut.groupBy("row").agg(F.sum("w").cast("long").alias("gone"), F.count("*").alias("gone_lines"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     gone = F.coalesce("gone", F.lit(0)).cast("long")
@@ -129,8 +128,6 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """Every document's counts and verdict."""
-    from .common import documents
-
     return judge(documents(spark, sf_dir))
 
 
@@ -145,11 +142,9 @@ ln AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT r, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS z
   FROM ln WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY r),
-per AS (SELECT host, z, count(*) AS n_docs, min(doc_id) AS first_doc FROM (SELECT DISTINCT r, z FROM lw) JOIN d USING (r) GROUP BY host, z HAVING count(*) > 20),
-hosts AS (SELECT host AS of, count(*) AS n FROM d GROUP BY host),
-over_limit AS (SELECT host AS of, z, first_doc FROM per JOIN hosts ON of IS NOT DISTINCT FROM host WHERE n_docs * 100 > n),
+over_limit AS (SELECT host AS of, z FROM (SELECT DISTINCT r, z FROM lw) JOIN d USING (r) GROUP BY host, z HAVING count(*) > 20),
 lost AS (SELECT lw.r, sum(length(lw.z) - length(replace(lw.z, ' ', '')) + 1) AS gone, count(*) AS gone_lines
-  FROM lw JOIN d USING (r) JOIN over_limit o ON o.z = lw.z AND o.of IS NOT DISTINCT FROM d.host WHERE d.doc_id IS DISTINCT FROM o.first_doc GROUP BY lw.r),
+  FROM lw JOIN d USING (r) JOIN over_limit o ON o.z = lw.z AND o.of IS NOT DISTINCT FROM d.host GROUP BY lw.r),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
   coalesce(gone, 0)::BIGINT AS n_removed_words, coalesce(gone_lines, 0)::BIGINT AS n_removed_lines
