@@ -19,7 +19,8 @@ an ``@``, a plus, a title) or consumes what it has scanned.
 
 Defined cases: a null text is an empty text and has no spans; a null id stays
 null; repeated rows give repeated rows; without candidates no classifier is
-trained; an empty table gives an empty table; other columns are ignored.
+trained; an empty table gives an empty table; other columns are ignored. Candidates inside
+an identity number aren't candidates of their own.
 """
 
 from __future__ import annotations
@@ -34,14 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import documents, held, materialise, texts, trim
+
 KINDS = ("email", "ip", "card", "phone", "id", "name")
 LABELERS = ("shape", "checksum", "gazetteer", "support", "against", "near")
-KEEP = 0.9
+KEEP = 0.8
 EM_ROUNDS = 60
 MOST_PRIOR = 0.8
 RIDGE = 1e-5
 TRUST = 0.1
 CONTEXT = 48
+VETO = 0.01
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -53,11 +57,24 @@ AT = re.compile(r"[(\[{]at[)\]}]")
 BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?\Z")
 AFTER_AT = re.compile(r"\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[{]dot[)\]}]|\.)\x20?[A-Za-z0-9-]{1,63}){1,8}")
 LOCAL_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
-IDENTITY = re.compile(r"(?<![\w-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7})(?![\w-])")
+PLAIN_PHONE = re.compile(r"\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}")
+IDENTITY = re.compile(r"(?<![\w-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![\w-])")
+TAIL = re.compile(r"\x20[A-Z0-9]{1,3}\Z|\x20[A-Z]{4}\Z")
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sra", "Señor")
 TITLED = re.compile(r"\b(?:Mrs|Mr|Ms|Dr|Prof|Herr|Frau|Mme|Sra|Señora|Señor)\.?\x20([A-Z][^\W\d_]{1,30}(?:\x20[A-Z][^\W\d_]{1,30})?)")
-NAMES = frozenset("anna ben carlos claire david elena emma eva felix hans helen ivan jack jane jean john jorge juan julia karl laura lena leon lucas luis maria marie mark martin max mia michael nina olga paul peter pierre robert sara sofia thomas tom".split())
-TLDS = frozenset("com org net edu gov io co de fr es uk eu ch at it nl info biz dev app us ca au jp in br mx".split())
+#: Common given names of several languages; :func:`detect` takes a list of one's own.
+NAMES = frozenset(
+    "adam ahmed aisha alan albert alejandro alex alexander alice ali amir amy ana anders andrea andrew angela anna anne antonio arthur astrid beatriz ben bernard brian camille carla carlos carmen "
+    "caroline catherine charles charlotte chen chloe christian christine claire clara daniel david diana diego dmitri dorothy edward elena elias elisabeth elizabeth emily emma erik esther eva "
+    "fatima felix fernando francesca francisco francois frank fritz gabriel george giulia giovanni greta grace hannah hans harry hassan heidi helen henry hiroshi hugo ibrahim ida igor ines ingrid "
+    "irene isabel ivan jack jacob james jan jane javier jean jennifer jens jessica joan johanna john jorge jose joseph juan judith julia julien karen karl katarina kenji kim klaus kofi laura "
+    "lars lea lena leon linda lisa louis louise lucas lucia luis magda marco margaret maria marie mark marta martin mary matteo max mei mia michael miguel mohammed monika nadia nicolas nina "
+    "nora olga oliver olivia olumide omar oscar pablo patricia paul pavel pedro peter philip pierre rachel raj rebecca richard robert rosa ruth samuel sandra sara sofia sophie stefan susan sven "
+    "thomas tim tom ursula victor victoria walter wei william yuki yusuf".split()
+)
+#: What follows a title without being a name.
+ROLES = frozenset("president minister chairman speaker director general secretary judge ambassador governor mayor professor doctor".split())
+GENERIC = frozenset("com org net edu gov mil int info biz dev app".split())
 SUPPORT = {
     "email": "mail contact write reach e-mail",
     "ip": "ip address host server login client",
@@ -131,28 +148,42 @@ def extra_spans(text: str) -> list[tuple[int, int, int]]:
             if m.end() - m.start() < 40 and 12 <= sum(c.isdigit() for c in m[0]) <= 19:
                 out.add((m.start(), 2, m.end()))
         out.update((m.start(), 3, m.end()) for m in LOCAL_PHONE.finditer(text))
-        out.update((m.start(), 4, m.end()) for m in IDENTITY.finditer(text))
+        own = []
+        for m in IDENTITY.finditer(text):
+            s, e = m.span()
+            if m[0][0].isalpha() and not iban(m[0]) and (short := TAIL.search(m[0])) and iban(m[0][: short.start()]):
+                e = s + short.start()  # the last group was the next word
+            own.append((s, 4, e))
+        # What lies inside an identity number is a part of it.
+        starts = [s for s, _, _ in own]
+        inside = lambda s, e: (k := bisect.bisect_right(starts, s)) and e <= own[k - 1][2]
+        out = {x for x in out if not inside(x[0], x[2])} | set(own)
     if any(t in text for t in TITLES):
         out.update((m.start(1), 5, m.end(1)) for m in TITLED.finditer(text))
     return sorted(out)
 
 
-def votes(text: str, start: int, kind: int, end: int, near: bool, is_base: bool) -> tuple[list[int], int]:
+def votes(text: str, start: int, kind: int, end: int, near: bool, is_base: bool, names: frozenset[str] = NAMES) -> tuple[list[int], int]:
     """The labelers' votes (+1 for, -1 against, 0 abstains) and three shape bits."""
     s, name = text[start:end], KINDS[kind]
     digits = "".join(c for c in s if c.isdigit())
     before, around = text[max(0, start - CONTEXT) : start], text[max(0, start - CONTEXT) : end + CONTEXT]
-    shape = 1 if is_base or kind in (4, 5) else 0
+    shape = 1 if is_base or kind == 4 else 0
     check = 0
     if kind == 2 or kind == 4 and "-" not in s:
         check = 1 if (kind == 2 and luhn(digits)) or (kind == 4 and iban(s)) else -1
     if kind == 0:
-        gazetteer = 1 if re.split(r"[.)\]}\s]+", s)[-1].lower() in TLDS else -1
+        shape = 1 if is_base or " " not in s or re.search(r"[(\[{]dot", s) else 0
+        top = re.split(r"[.)\]}\s]+", s)[-1].lower()
+        gazetteer = 1 if top in GENERIC or len(top) == 2 and top.isalpha() else -1  # two letters: a country's
     elif kind == 5:
-        gazetteer = 1 if s.split()[0].lower() in NAMES else 0
+        first, *rest = s.lower().split()
+        gazetteer = 1 if first in names else -1 if first in ROLES else 0
+        shape = 1 if rest else 0
     elif kind == 2:
         gazetteer = 1 if digits[0] in "3456" else -1  # issuers of payment cards
     elif kind == 3:
+        shape = 1 if is_base or PLAIN_PHONE.fullmatch(s) else 0
         gazetteer = -1 if len(set(digits)) <= 2 else 0
     else:
         gazetteer = 0
@@ -182,7 +213,7 @@ def unsign(sig: int) -> tuple[int, list[int], int]:
     return code, cast[::-1], bits
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, bool]]]:
+def candidates(text: str, names: frozenset[str] = NAMES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, bool]]]:
     """Base spans, and all candidates with their signatures: (start, kind, end, signature, is base)."""
     base = base_spans(text)
     extra = extra_spans(text) if text else []
@@ -201,18 +232,20 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     starts = [x[0] for x in every]
     for s, k, e, is_base in every:
         near = bisect.bisect_left(starts, s + 2 * CONTEXT) - bisect.bisect_left(starts, s - 2 * CONTEXT) > 1
-        out.append((s, k, e, signature(k, *votes(text, s, k, e, near, is_base)), is_base))
+        out.append((s, k, e, signature(k, *votes(text, s, k, e, near, is_base, names)), is_base))
     return base, out
 
 
-def expectation_maximisation(kinds: np.ndarray, cast: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expectation_maximisation(kinds: np.ndarray, cast: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS, failed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each vote pattern, P(vote | truth) by kind and labeler, prior by kind.
 
     ``cast`` has a row of votes (-1, 0, 1) a pattern, ``n`` its count. Each kind has its own
     estimates: labelers abstain on some kinds, which says nothing about the truth.
+    ``failed`` marks patterns that a failed checksum settles: they are held at ``VETO``.
     """
     labelers = cast.shape[1]
-    post = 1 / (1 + np.exp(-1.5 * cast.sum(axis=1)))
+    failed = np.zeros(len(cast), bool) if failed is None else failed
+    post = np.where(failed, VETO, 1 / (1 + np.exp(-1.5 * cast.sum(axis=1))))
     table, prior = np.full((len(KINDS), labelers, 3, 2), 1 / 3), np.full(len(KINDS), 0.5)
     for k in np.unique(kinds):
         own = kinds == k
@@ -230,7 +263,7 @@ def expectation_maximisation(kinds: np.ndarray, cast: np.ndarray, n: np.ndarray,
                     table[k, j, :, truth] = np.array(t) / sum(t)
                 if not seen[0].all():
                     logit += np.log(table[k, j, votes_[:, j] + 1, 1] / table[k, j, votes_[:, j] + 1, 0])
-            p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            p = np.where(failed[own], VETO, 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
         post[own] = p
     return post, table, prior
 
@@ -250,7 +283,7 @@ def train(counts: dict[int, int]) -> dict[str, object]:
     sigs = sorted(counts)
     n = np.array([counts[s] for s in sigs], float)
     kinds, cast = np.array([unsign(s)[0] for s in sigs]), np.array([unsign(s)[1] for s in sigs])
-    post, table, prior = expectation_maximisation(kinds, cast, n)
+    post, table, prior = expectation_maximisation(kinds, cast, n, failed=cast[:, LABELERS.index("checksum")] == -1)
     # Square roots of the counts: rare signatures are heard beside very common ones.
     x, weight = features(sigs), np.sqrt(n) / np.sqrt(n).sum()
     w = np.zeros(x.shape[1])
@@ -268,16 +301,17 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, names: frozenset[str] = NAMES) -> DataFrame:
     """Per row of (doc_id, text): counts, base spans and candidates with signatures."""
     schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, starts array<int>, ends array<int>, sigs array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
             base_text, starts, ends, sigs = [], [], [], []
             for text in batch.column(1).to_pylist():
-                base, found = candidates(text)
+                base, found = candidates(text, names)
                 for k in range(4):
                     counts[k].append(sum(b[1] == k for b in base))
                 base_text.append(listed(base))
@@ -288,6 +322,7 @@ def find(docs: DataFrame) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), *[pa.array(c, pa.int64()) for c in counts], pa.array(base_text, pa.string()), *[pa.array(a, pa.list_(pa.int32())) for a in (starts, ends, sigs)]],
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "starts", "ends", "sigs"],
             )
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -295,12 +330,13 @@ def find(docs: DataFrame) -> DataFrame:
 def decide(found: DataFrame, model: dict[str, object]) -> DataFrame:
     """Per row of :func:`find`: the base digest and all spans."""
     weights = model["weights"]
-    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"]
+    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, bool] = {}
         for batch in batches:
-            shas, spans, added = [], [], []
+            shas, spans, added, sizes = [], [], [], []
             for base, starts, ends, sigs in zip(*(batch.column(k).to_pylist() for k in range(5, 9)), strict=True):
                 fixed = [x.split(":") for x in base.split(",")] if base else []
                 every = {(int(s), KINDS.index(k), int(e)) for k, s, e in fixed}
@@ -313,16 +349,16 @@ def decide(found: DataFrame, model: dict[str, object]) -> DataFrame:
                 shas.append(hashlib.sha256(base.encode()).hexdigest())
                 spans.append(listed(list(every)))
                 added.append(len(every) - n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                sizes.append(len(every))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array(sizes, pa.int64())], names)
 
     return found.mapInArrow(run, schema)
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """All personal data of (doc_id, text) rows; the model is trained on their candidates."""
-    from .common import materialise
-
-    found = materialise(find(docs), "pii-candidates")
+def detect(docs: DataFrame, names: frozenset[str] = NAMES) -> DataFrame:
+    """All personal data of (doc_id, text) rows; the model is trained on their candidates.
+    ``names``: given names in lower case, which go to the tasks with the code."""
+    found = materialise(find(docs, names), "pii-candidates")
     # At most 6 * 3**6 * 8 signatures exist, whatever the number of documents.
     counts = {r.sig: r.n for r in found.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).collect()}
     return decide(found, train(counts))
@@ -330,6 +366,4 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """Personal data in every text of ``documents``."""
-    from .common import documents, texts
-
     return detect(texts(documents(spark, sf_dir)))
