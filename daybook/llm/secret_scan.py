@@ -6,9 +6,11 @@ digits among them, that stands within ``REACH`` characters before or after a sen
 word and touches no base span; every such string is measured. The name that holds the
 word (``TOKEN_PROD``, ``password2``) is skipped, and ``=`` parts a name from its value. Its novelty is the
 marginal cost: the compressed size of its surroundings with it, less that of the
-surroundings alone, by a compressor primed with a dictionary of identifiers. What
-code and prose repeat costs few bytes; a random key can't be compressed. A
-candidate that costs ``MIN_BITS`` or more bits a character is reported as ``novel``.
+surroundings alone, by a compressor primed with a dictionary of identifiers; the mean
+over ``AROUND``'s reaches of surroundings, since one alone jumps with the
+compressor's choice of how to write literals. What code and prose repeat costs few
+bytes; a random key can't be compressed. A candidate that costs ``MIN_BITS`` or more
+bits a character is reported as ``novel``.
 
 Defined cases: a null text is an empty text and has no spans; a null id stays
 null; repeated rows give repeated rows; an empty table gives an empty table;
@@ -27,11 +29,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import documents, held, texts, trim
+
 KINDS = ("assign", "access", "hex", "novel")
 MIN_CHARS = 12
-MIN_BITS = 4.6
+MIN_BITS = 6.2
 REACH = 32
-AROUND = 256
+AROUND = (32, 96, 160, 256)
 LEVEL = 3
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -57,11 +61,11 @@ def compressor() -> zstandard.ZstdCompressor:
 
 def novelty(text: str, start: int, end: int) -> float:
     """Marginal compressed bits a character of ``text[start:end]`` in its surroundings, without copies of itself there."""
-    value = text[start:end]
-    before, after = text[max(0, start - AROUND) : start].replace(value, ""), text[end : end + AROUND].replace(value, "")
-    packed = compressor()
-    cost = len(packed.compress((before + value + after).encode())) - len(packed.compress((before + after).encode()))
-    return 8 * cost / (end - start)
+    value, packed, cost = text[start:end], compressor(), 0
+    for reach in AROUND:
+        before, after = text[max(0, start - reach) : start].replace(value, ""), text[end : end + reach].replace(value, "")
+        cost += len(packed.compress((before + value + after).encode())) - len(packed.compress((before + after).encode()))
+    return 8 * cost / len(AROUND) / (end - start)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -156,15 +160,18 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text): counts by kind, the base digest and all spans."""
-    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint"
+    """Per row of (doc_id, text): counts by kind, the base digest, all spans and their number."""
+    schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint, n_spans bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             found = [spans(t) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(x[1] == k for x in every) for _, every in found], pa.int64()) for k in range(4)]
             shas = pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *counts[:3], shas, pa.array([listed(x) for _, x in found], pa.string()), counts[3]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
+            sizes = pa.array([len(x) for _, x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *counts[:3], shas, pa.array([listed(x) for _, x in found], pa.string()), counts[3], sizes], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel", "n_spans"])
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -175,16 +182,16 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             columns = list(batch.columns)
             columns[at] = pa.array([redact(t) for t in columns[at].to_pylist()], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        trim()
 
     return docs.mapInArrow(run, schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     """Secrets in every text of ``documents``."""
-    from .common import documents, texts
-
     return scan(texts(documents(spark, sf_dir)))
