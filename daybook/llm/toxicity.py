@@ -5,16 +5,18 @@ character trigrams (hashed, with marks at both ends), so unseen forms of a known
 are recognised. A forward and a backward gated recurrent layer run over a window of
 ``WINDOW`` words, attention pools their outputs, and a logistic unit scores the window.
 A document's score is that of its highest window; all windows, ``STRIDE`` words apart
-and so overlapping, are scored, to the last word.
+and so half overlapping, are scored, to the last word.
 
 Training: at most ``MAX_DOCS`` labelled documents of each class (those whose id hashes
-lowest, never of the held-out third), at most ``WINDOWS_A_DOC`` windows spread over each
-one, by Adam on the driver; the bounds hold whatever the table's size. Then the network,
+lowest, never of the held-out third), whole, all windows of each, by Adam on the driver;
+the bound on their number holds whatever the table's size. Then the network,
 a few hundred KB, goes to the tasks, and scoring is a map without a shuffle.
 
 Defined cases: a null text is an empty text; a text without words gets the score of
 an empty window; a null id is held out of training and belongs to no fold
-(``held_out`` false); repeated rows give repeated rows; an empty table gives an empty
+(``held_out`` false); repeated rows give repeated rows; an id that ``labels`` has with both
+classes isn't learned from, and one that ``documents`` has more than once is learned from
+once, by the text that hashes lowest; an empty table gives an empty
 table; without labels of both classes every score is the share of toxic labels (0 if
 there are none); other columns are ignored.
 """
@@ -29,18 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE = 48, 40
+from .common import documents, held, trim
+
+WINDOW, STRIDE = 48, 24
 WORD_BITS, CHAR_BITS = 16, 12
 WORD_DIM, CHAR_DIM, HIDDEN = 12, 12, 12
 MAX_DOCS = 1500
-WINDOWS_A_DOC = 12
 EPOCHS, LEAST_STEPS, BATCH, RATE = 10, 200, 64, 0.01
+PICKS = 5
 DROP = 0.3
 LEAST_DOCS, PRIOR_DOCS = 3, 8
 #: The embeddings learn slower than the layers above, which first use the log-odds they start with.
 SLOWER = {"words": 0.1, "chars": 0.1}
 REJECT = 0.7
-CHUNK = 4096
+CHUNK = 1024
 F32 = np.float32
 
 
@@ -187,24 +191,48 @@ def windows_of(n: int) -> list[int]:
     return [*starts, n - WINDOW]
 
 
-def fit(sample: list[tuple[list[list[bytes]], int]], seed: int = 7) -> dict[str, np.ndarray] | float:
-    """A network from documents (their windows of words) and labels; a bare score if a class is missing.
+class Windows:
+    """The windows of texts, whose words are rows of a table: ``counts`` of them by text, from ``heads`` on."""
+
+    def __init__(self, runs: list[np.ndarray]):
+        starts = [windows_of(len(r)) for r in runs]
+        self.counts = np.fromiter(map(len, starts), np.int64, len(runs))
+        self.heads = np.cumsum(self.counts) - self.counts
+        self.flat = np.concatenate([*runs, np.full(WINDOW, -1, np.int32)])
+        base = np.cumsum([0, *map(len, runs)])
+        self.first = np.concatenate([np.zeros(0, np.int64), *[np.array(s, np.int64) + b for s, b in zip(starts, base, strict=False)]])
+        self.length = np.repeat(np.minimum(np.diff(base), WINDOW), self.counts)
+
+    def ids(self, windows: np.ndarray | slice) -> np.ndarray:
+        """(steps, windows) of word rows; -1 marks what lies past the end."""
+        span, at = np.arange(WINDOW)[:, None], self.first[windows]
+        return np.where(span < self.length[windows], self.flat[np.minimum(at + span, len(self.flat) - 1)], -1)
+
+    def logits(self, table: dict[str, np.ndarray], net: dict[str, np.ndarray]) -> np.ndarray:
+        """Of every window, ``CHUNK`` at a time."""
+        parts = [window_logits(self.ids(slice(k, k + CHUNK)), table, net) for k in range(0, len(self.first), CHUNK)]
+        return np.concatenate([np.zeros(0, F32), *parts])
+
+
+def by_direction(inputs: np.ndarray, net: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What each word gives to both layers; one more row stands for an empty window's word, which no window reads."""
+    return {d: np.concatenate([inputs @ net[f"W{d}"] + net[f"c{d}"], np.zeros((1, 3 * HIDDEN), F32)]) for d in "fb"}
+
+
+def fit(sample: list[tuple[list[bytes], int]], seed: int = 7) -> dict[str, np.ndarray] | float:
+    """A network from documents (their words) and labels; a bare score if a class is missing.
 
     A document's score is its highest window's, and so is trained: after the first
     epoch, which takes a random window of each document, a batch learns from the
-    window of each document that the network scores highest by then.
+    window of each document that the network scored highest, of all its windows, at
+    the last of ``PICKS`` looks.
     """
     labels = np.array([y for _, y in sample], F32)
     if not len(labels) or labels.min() == labels.max():
         return float(labels.mean()) if len(labels) else 0.0
     rng, net = np.random.default_rng(seed), new_net(seed)
     index: dict[bytes, int] = {}
-    docs = []
-    for windows, _ in sample:
-        docs.append(np.full((len(windows), WINDOW), -1, np.int64))
-        for row, window in zip(docs[-1], windows, strict=True):
-            own = [index.setdefault(w, len(index)) for w in window[:WINDOW]]
-            row[: len(own)] = own
+    docs = [np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)) for words, _ in sample]
     every = Words(list(index))
     share = labels.mean()
     # A word that few training documents have could only be learned by heart: it keeps no
@@ -212,7 +240,7 @@ def fit(sample: list[tuple[list[list[bytes]], int]], seed: int = 7) -> dict[str,
     # label among the training documents that have the word or trigram.
     have = {"words": np.zeros((2, 1 << WORD_BITS)), "chars": np.zeros((2, 1 << CHAR_BITS))}
     for doc, (_, y) in zip(docs, sample, strict=True):
-        own = every.some(np.unique(doc[doc >= 0]))
+        own = every.some(np.unique(doc))
         have["words"][y][np.unique(own.word)] += 1
         have["chars"][y][np.unique(own.grams)] += 1
     for name, (clean, toxic) in have.items():
@@ -227,26 +255,24 @@ def fit(sample: list[tuple[list[list[bytes]], int]], seed: int = 7) -> dict[str,
     steps = -(-len(sample) // BATCH)
     epochs = max(EPOCHS, -(-LEAST_STEPS // steps))
     step, total = 0, epochs * steps
+    picked, look = np.zeros(len(sample), np.int64), max(1, epochs // PICKS)
     for epoch in range(epochs):
         order = rng.permutation(len(sample))
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
-            counts = np.array([len(docs[i]) for i in own])
-            rows = np.concatenate([docs[i] for i in own])
-            full = rows >= 0
-            if not full.any():
+            distinct, first, at = np.unique(np.concatenate([docs[i] for i in own]), return_index=True, return_inverse=True)
+            if not len(distinct):
                 continue
-            distinct, first, at = np.unique(rows[full], return_index=True, return_inverse=True)
             met = np.argsort(first)  # words in the order in which the batch has them
-            rows[full] = np.argsort(met)[at]
-            ids, words, heads = np.ascontiguousarray(rows.T), every.some(distinct[met]), np.cumsum(counts) - counts
-            if epoch:
-                inputs = words.inputs(net)
-                logits = window_logits(ids, {d: inputs @ net[f"W{d}"] + net[f"c{d}"] for d in "fb"}, net)
-                pick = np.array([h + int(logits[h : h + c].argmax()) for h, c in zip(heads, counts, strict=True)])
-            else:
-                pick = heads + rng.integers(0, counts)
-            seen, chosen = (rng.random((words.n, 1)) >= DROP).astype(F32), ids[:, pick]
+            rows, words = np.argsort(met).astype(np.int32)[at], every.some(distinct[met])
+            batch = Windows(np.split(rows, np.cumsum([len(docs[i]) for i in own])[:-1]))
+            if not epoch:
+                picked[own] = rng.integers(0, batch.counts)
+            elif epoch % look == 1 % look:
+                logits = batch.logits(by_direction(words.inputs(net), net), net)
+                picked[own] = [logits[h : h + c].argmax() for h, c in zip(batch.heads, batch.counts, strict=True)]
+            pick = batch.heads + picked[own]
+            seen, chosen = (rng.random((words.n, 1)) >= DROP).astype(F32), batch.ids(pick)
             used, at = np.unique(chosen[chosen >= 0], return_inverse=True)
             if not len(used):
                 continue
@@ -269,24 +295,12 @@ def score(texts: list[str], net: dict[str, np.ndarray] | float) -> np.ndarray:
     """The highest window's score of each whole text."""
     if isinstance(net, float):
         return np.full(len(texts), net)
+    if not texts:
+        return np.zeros(0)
     index: dict[bytes, int] = {}
-    runs = [np.array([index.setdefault(w, len(index)) for w in tokens(t)], np.int32) for t in texts]
-    inputs = Words(list(index)).inputs(net)
-    # One more row stands for an empty window's word, which no window reads.
-    table = {d: np.concatenate([inputs @ net[f"W{d}"] + net[f"c{d}"], np.zeros((1, 3 * HIDDEN), F32)]) for d in "fb"}
-    starts = [windows_of(len(r)) for r in runs]
-    counts = np.fromiter(map(len, starts), np.int64, len(texts))
-    flat = np.concatenate([*runs, np.full(WINDOW, -1, np.int32)])
-    base = np.cumsum([0, *map(len, runs)])
-    first = np.concatenate([np.array(s, np.int64) + b for s, b in zip(starts, base, strict=False)]) if len(texts) else np.zeros(0, np.int64)
-    length = np.repeat(np.minimum(np.diff(base), WINDOW), counts)
-    logits = np.empty(len(first), F32)
-    for k in range(0, len(first), CHUNK):
-        span = np.arange(WINDOW)[:, None]
-        at, n = first[k : k + CHUNK], length[k : k + CHUNK]
-        logits[k : k + CHUNK] = window_logits(np.where(span < n, flat[np.minimum(at + span, len(flat) - 1)], -1), table, net)
-    best = np.maximum.reduceat(logits, np.cumsum(counts) - counts) if len(texts) else logits
-    return sigmoid(best.astype(np.float64))
+    windows = Windows([np.array([index.setdefault(w, len(index)) for w in tokens(t)], np.int32) for t in texts])
+    logits = windows.logits(by_direction(Words(list(index)).inputs(net), net), net)
+    return sigmoid(np.maximum.reduceat(logits, windows.heads).astype(np.float64))
 
 
 def fold(id_col: str = "doc_id") -> F.Column:
@@ -294,30 +308,19 @@ def fold(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[list[list[bytes]], int]]:
-    """Windows of at most ``max_docs`` documents of each class, outside the held-out third."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[list[bytes], int]]:
+    """The words of at most ``max_docs`` documents of each class, outside the held-out third, in order of their ids."""
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("label_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("label_id") != 1))
-    chosen = [r for y in (0, 1) for r in usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(max_docs).collect()]
+    once = usable.groupBy("label_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter(F.col("toxic") == F.col("most")).drop("most")
+    chosen = [r for y in (0, 1) for r in once.filter(F.col("toxic") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(max_docs).collect()]
     if not chosen:
         return []
-    small = F.broadcast(spark.createDataFrame(chosen, "label_id bigint, toxic int").distinct())
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, parts, labels = [], [], []
-            for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = tokens(text or "")
-                starts = windows_of(len(found))
-                picks = sorted({round(i * (len(starts) - 1) / max(1, WINDOWS_A_DOC - 1)) for i in range(WINDOWS_A_DOC)})
-                ids.append(doc_id)
-                parts.append([b" ".join(w[:64] for w in found[starts[k] : starts[k] + WINDOW]) for k in picks])
-                labels.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.list_(pa.binary())), pa.array(labels, pa.int32())], ["doc_id", "windows", "toxic"])
-
-    rows = docs.join(small, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic").mapInArrow(cut, "doc_id bigint, windows array<binary>, toxic int").collect()
-    found = sorted((r.doc_id, [bytes(w) for w in r.windows], r.toxic) for r in rows)
-    return [([w.split() for w in windows], toxic) for _, windows, toxic in found]
+    small = F.broadcast(spark.createDataFrame(chosen, "label_id bigint, toxic int"))
+    rows = docs.join(small, F.col("doc_id") == F.col("label_id")).select("label_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # One text an id, so what is collected is bounded by the number of ids however often they are repeated.
+    least = rows.groupBy("label_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("label_id", "t.text", "toxic").collect()
+    return [(tokens(r.text), r.toxic) for r in sorted(least, key=lambda r: r.label_id)]
 
 
 def scored(docs: DataFrame, net: dict[str, np.ndarray] | float, text_col: str = "text", into: str = "score") -> DataFrame:
@@ -326,9 +329,11 @@ def scored(docs: DataFrame, net: dict[str, np.ndarray] | float, text_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             made = score([t or "" for t in batch.column(at).to_pylist()], net)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], [*batch.schema.names, into])
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -347,8 +352,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every text of ``documents``."""
-    from .common import documents
-
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
