@@ -8,15 +8,15 @@ valid encoding continues are marked, so each is left once and the work is linear
 in the piece. Two tokens may stand side by side if merging by rank would never
 have joined bytes across their border; these answers are memoised.
 
-Whole texts are encoded. A text is cut at white space into segments that the
-split pattern never crosses, so that equal segments are encoded once a worker;
-the memo is bounded in entries and in segment length and is emptied when full,
-which changes no result.
+Whole texts are encoded. Where the split pattern is ``SPLITS_AT_SPACE``, a text is cut at
+white space into segments that it never crosses, so that equal segments are encoded
+once a worker; for any other pattern a segment is a match of the pattern on the whole
+text. Both memos are bounded in bytes and halve when full, which changes no result.
 
 Defined cases: a null text is an empty text; an empty text has no tokens (the
 hashes are those of no bytes); repeated rows give repeated rows; a null id stays
 null; an empty table gives an empty table; other columns are ignored by
-:func:`encode` unless named in ``keep``.
+:func:`encode` unless named in ``keep``, where a name that is also a result's is left out.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from sys import getsizeof
 
 import ahocorasick
 import numpy as np
@@ -34,11 +34,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import documents, fresh, held, trim
+
 #: Unicode White_Space, which is what ``\s`` means in the split pattern.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO_ENTRIES = 800_000
-MEMO_CHARS = 64
-PAIR_ENTRIES = 2_000_000
+#: Fixed value: a pattern whose matches never hold white space followed by something else, but for one leading space.
+SPLITS_AT_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MEMO_BYTES = 56 << 20
+MEMO_CHARS = 32
+PAIR_ENTRIES = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +51,29 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+class Memo:
+    """Answers by key, bounded in bytes: a young and an old half. A full young half becomes the
+    old one, so what is asked often stays."""
+
+    #: Of an entry in a dictionary, besides its key and value.
+    SLOT = 60
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old, self.size = most // 2, {}, {}, 0
+        self.get = self.young.get
+
+    def older(self, key):
+        """The answer of the old half, if there is one; for keys that the young half lacks."""
+        return self.old.get(key)
+
+    def put(self, key, value) -> None:
+        self.size += getsizeof(key) + getsizeof(value) + self.SLOT
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+            self.get = self.young.get
+        self.young[key] = value
+
+
 class ByteBPE:
     """Encoder and decoder of one vocabulary of ranks."""
 
@@ -74,12 +101,14 @@ class ByteBPE:
                 if j >= 0 and self.halves[j]:
                     self.shorter[i] = j
                     break
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
-        spelled = regex.sub(r"\[\^\\s", f"[^{SPACE}", pattern)
-        spelled = spelled.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
-        self.pieces = regex.compile(spelled).findall
-        self.segments = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]").findall
+        self.pairs: dict[int, bool] = {}
+        self.memo = Memo(MEMO_BYTES)
+        # Sets within sets: version 1 of the expressions, so both also stand inside brackets.
+        spelled = pattern.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
+        whole = regex.compile(spelled, regex.V1)
+        self.pieces = (lambda text: [m[0] for m in whole.finditer(text)]) if whole.groups else whole.findall
+        at_space = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]").findall
+        self.segments, self.alone = (at_space, False) if pattern == SPLITS_AT_SPACE else (self.pieces, True)
 
     def _halves(self, token: bytes, i: int) -> tuple[int, int] | None:
         """The last merge that makes the token, or None if merging by rank never makes it."""
@@ -95,11 +124,12 @@ class ByteBPE:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves this border between the two tokens."""
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= PAIR_ENTRIES:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._border_holds(left, right)
+            known = self.pairs[pair] = self._border_holds(left, right)
         return known
 
     def _border_holds(self, left: int, right: int) -> bool:
@@ -147,19 +177,24 @@ class ByteBPE:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        get, out = self.memo.get, []
+        out = []
+        get = self.memo.get
         for segment in self.segments(text):
             ids = get(segment)
-            out.append(self._segment(segment) if ids is None else ids)
+            if ids is None:
+                ids = self._segment(segment)
+                get = self.memo.get
+            out.append(ids)
         return b"".join(out)
 
     def _segment(self, segment: str) -> bytes:
-        tokens = [i for piece in self.pieces(segment) for i in self.encode_piece(piece.encode())]
-        ids = struct.pack(f"<{len(tokens)}I", *tokens)
+        ids = self.memo.older(segment)
+        if ids is None:
+            pieces = [segment] if self.alone else self.pieces(segment)
+            tokens = [i for piece in pieces for i in self.encode_piece(piece.encode())]
+            ids = struct.pack(f"<{len(tokens)}I", *tokens)
         if len(segment) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
-            self.memo[segment] = ids
+            self.memo.put(segment, ids)
         return ids
 
     def decode(self, ids: bytes) -> bytes:
@@ -167,10 +202,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteBPE:
-    """The vocabulary at ``path``, built once a worker."""
-    return ByteBPE(load_ranks(path), pattern)
+    """The vocabulary at ``path``, built once a worker and kept until another stage wants something else."""
+    return held(("bpe", path, pattern), lambda: ByteBPE(load_ranks(path), pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
@@ -179,8 +213,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     A map without a shuffle; a task holds one Arrow batch.
     """
-    keep = keep or []
-    rows = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text_"))
+    made_up = ["n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
+    # A kept column of a name that is made here, or that is the id, isn't kept twice.
+    keep = [c for c in keep or [] if c.lower() not in (*made_up, id_col.lower())]
+    rows = docs.select(F.col(id_col), *keep, F.coalesce(F.col(text_col), F.lit("")).alias(fresh(docs, "text")))
     schema = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes[:-1]] + ["n_tokens bigint", *["ids binary"] * with_ids, "ids_sha256 string", "decoded_sha256 string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +228,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 made.append(pa.array(ids, pa.binary()))
             made.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
             made.append(pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()))
-            names = [*batch.schema.names[:-1], "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *made_up])
+        trim()
 
     return rows.mapInArrow(run, schema)
 
@@ -202,6 +238,4 @@ def op7(spark, sf_dir: str) -> DataFrame:
     """``documents`` by the multilingual byte-level ranks, encoded and decoded."""
     import public_tokenizers
 
-    from .common import documents
-
     return encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
