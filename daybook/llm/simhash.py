@@ -10,8 +10,11 @@ flipping bits changes the bucket in a known way, so the variants of a fingerprin
 that fall in one bucket follow from the fingerprint: a fingerprint is sent once to
 each bucket that any of its variants reaches, and the bucket's task expands exactly
 those. No variant is lost; with ``B`` = 64 a fingerprint moves 64 times 8 bytes in place
-of 2081 times 16. ``B`` grows when a bucket would get over ``BUCKET_FPS`` fingerprints, and
-a bucket's variants are expanded in slices of about ``SLICE`` (by a second code).
+of 2081 times 16. Up to 2081 buckets, every bucket hears of every fingerprint and expands
+its share of the variants, in slices of about ``SLICE`` (by a second code): a task holds
+some 26 bytes a fingerprint, and more buckets are more tasks at ``8 * B`` bytes moved a
+fingerprint. So ``B`` is 64 up to ``FEW_FPS`` distinct fingerprints, 256 up to
+``BUCKET_FPS``, and beyond grows until a bucket gets no more than that many.
 
 Equal fingerprints are one node, so copies cost one row each before this step and
 one join after it. Inside a bucket, links are contracted to a forest that leads each
@@ -34,7 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, documents, fresh, held, materialise, trim
+
 HALF = 2
+FEW_FPS = 1 << 22
 BUCKET_FPS = 1 << 24
 SLICE = 1 << 22
 FLUSH = 1 << 16
@@ -69,9 +75,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = "doc_id bigint, fp bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             made = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+        trim()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
 
@@ -109,6 +117,8 @@ def _choose(n: int, k: int) -> Iterator[tuple[int, ...]]:
 def syndrome(values: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """XOR of the codes of each value's set bits, by byte tables."""
     out = np.zeros(len(values), np.uint64)
+    if not codes.any():
+        return out
     octets = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)
     for k in range(8):
         table = np.zeros(256, np.uint64)
@@ -149,12 +159,16 @@ def collide(fps: np.ndarray, bucket: int, bucket_bits: int, half: int = HALF) ->
     """Verified links among distinct fingerprints that share a variant of this bucket, as a forest."""
     slice_bits = max(0, int(np.ceil(np.log2(max(1, len(fps) * (2081 >> bucket_bits or 1) / SLICE)))))
     masks = ball(bucket_bits, slice_bits, half)
-    move = syndrome(fps, masks.codes) ^ np.uint64(bucket)
-    within = syndrome(fps, masks.slice_codes)
-    key = move * np.uint64(1 << slice_bits) + within
+    key = syndrome(fps, masks.codes) ^ np.uint64(bucket)
+    key <<= np.uint64(slice_bits)
+    key |= syndrome(fps, masks.slice_codes)
+    # Narrow keys: their sort needs 8 bytes a fingerprint, and the fingerprints lie in groups after it.
+    key = key.astype(np.uint16 if bucket_bits + slice_bits <= 16 else np.uint32)
     order = np.argsort(key, kind="stable")
-    keys, first = np.unique(key[order], return_index=True)
-    groups = {int(k): fps[order[s:e]] for k, s, e in zip(keys, first, [*first[1:], len(fps)], strict=True)}
+    fps, key = fps[order], key[order]
+    del order
+    first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1]) if len(key) else np.zeros(0, int)
+    groups = {int(key[s]): fps[s:e] for s, e in zip(first, [*first[1:], len(fps)], strict=True)}
     left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for part in range(1 << slice_bits):
         variants, owners = [], []
@@ -184,8 +198,8 @@ def collide(fps: np.ndarray, bucket: int, bucket_bits: int, half: int = HALF) ->
 
 
 def bucket_bits_for(n: int, half_ball: int = 2081) -> int:
-    """Bits of the bucket code: 6, or more if a bucket would get over ``BUCKET_FPS``."""
-    bits = 6
+    """Bits of the bucket code: 6, 8 for more than ``FEW_FPS``, or more if a bucket would get over ``BUCKET_FPS``."""
+    bits = 6 if n <= FEW_FPS else 8
     while n * min(1.0, half_ball / (1 << bits)) > BUCKET_FPS:
         bits += 1
     return bits
@@ -196,10 +210,10 @@ def links(nodes: DataFrame, half: int = HALF) -> DataFrame:
     bits = bucket_bits_for(nodes.count())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, held, n = ball(bits, 0, half), [], 0
+        masks, kept, n = ball(bits, 0, half), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            fps = np.concatenate(held).view(np.uint64)
+            fps = np.concatenate(kept).view(np.uint64)
             at = syndrome(fps, masks.codes)
             order = np.argsort(at, kind="stable")
             values, first = np.unique(at[order], return_index=True)
@@ -212,32 +226,34 @@ def links(nodes: DataFrame, half: int = HALF) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "fps": pa.array([np.concatenate(parts).tobytes()], pa.binary())})
 
         for batch in batches:
-            held.append(batch.column(0).to_numpy())
+            kept.append(batch.column(0).to_numpy())
             n += batch.num_rows
             if n >= FLUSH:
                 yield from flush()
-                held, n = [], 0
+                kept, n = [], 0
         if n:
             yield from flush()
+        trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, got = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            a, b = collide(np.unique(np.concatenate(held)), now, bits, half)
+            a, b = collide(np.unique(np.concatenate(got)), now, bits, half)
             for k in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_pydict({"low": pa.array(a[k : k + 100_000].view(np.int64)), "node": pa.array(b[k : k + 100_000].view(np.int64))})
 
         for batch in batches:
             for k in range(batch.num_rows):
                 bucket = batch.column(0)[k].as_py()
-                if bucket != now and held:
+                if bucket != now and got:
                     yield from done()
-                    held = []
+                    got = []
                 now = bucket
-                held.append(np.frombuffer(batch.column(1)[k].as_py(), np.uint64))
-        if held:
+                got.append(np.frombuffer(batch.column(1)[k].as_py(), np.uint64))
+        if got:
             yield from done()
+        trim()
 
     packed = nodes.select("fp").mapInArrow(emit, "bucket bigint, fps binary")
     return packed.repartition(1 << min(bits, 14), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "low bigint, node bigint").distinct()
@@ -249,8 +265,6 @@ def star_contraction(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds over (node > low) edges; nodes are
     compared as signed longs. A round's state is one written table.
     """
-    from .common import materialise
-
     now = materialise(edges.select(F.greatest("low", "node").alias("node"), F.least("low", "node").alias("low")).filter("node <> low").distinct(), "star")
     mark = None
     while True:
@@ -265,24 +279,22 @@ def star_contraction(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the smallest of these.
         low = large.groupBy("node").agg(F.min("low").alias("m"))
         moved = large.join(low, "node").select(F.explode(F.array(F.struct(F.col("node"), F.col("m").alias("low")), F.struct(F.col("low").alias("node"), F.col("m").alias("low")))).alias("e")).select("e.*")
-        now = materialise(moved.filter("node <> low").distinct(), "star")
+        now = materialise(moved.filter("node <> low").distinct(), "star", instead_of=now)
 
 
 def components(prints: DataFrame, half: int = HALF) -> DataFrame:
     """fp, root and component_id (smallest id reachable) of each distinct fingerprint in (doc_id, fp) rows."""
-    from .common import materialise
-
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
-    roots = star_contraction(links(nodes, half)).select(F.col("node").alias("fp"), F.col("low").alias("root"))
-    known = materialise(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fp-roots")
+    stars = star_contraction(links(nodes, half))
+    roots = stars.select(F.col("node").alias("fp"), F.col("low").alias("root"))
+    known = materialise(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fp-roots", instead_of=nodes)
+    discard(stars)
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return known.join(ids, "root").select("fp", "root", "component_id")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every row of ``documents``."""
-    from .common import documents, materialise
-
     prints = materialise(fingerprints(documents(spark, sf_dir)), "fp")
     return prints.join(components(prints), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -290,16 +302,16 @@ def op10(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", half: int = HALF) -> DataFrame:
     """The rows of ``docs``, all columns, one of each component: that with the smallest id
     (of several such rows, one). A component whose ids are all null keeps one row."""
-    from .common import fresh, materialise
-
     name, number = fresh(docs, "fp"), fresh(docs, "row")
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{name}` bigint"
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         for batch in batches:
             made = np.fromiter((fingerprint(t or "") for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], [*batch.schema.names, name])
+        trim()
 
     rows = materialise(docs.mapInArrow(run, schema).withColumn(number, F.monotonically_increasing_id()), "fp-rows")
     prints = rows.select(F.col(id_col).alias("doc_id"), F.col(name).alias("fp"), F.col(number).alias("row"))
