@@ -42,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import documents, fresh, materialise
+
 BLOCK_DOCS = 16
 SLOTS = 360
 BUCKETS = 4096
@@ -168,13 +170,11 @@ def schedule(sizes: DataFrame, weights: dict[str | None, int] | None = None, blo
 
 
 def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, int] | None, block_docs: int, slots_a_source: int = 0) -> tuple[DataFrame, dict[str, str]]:
-    from .common import fresh, materialise
-
     names = {x: fresh(docs, f"mix_{x}") for x in ("bucket", "n", "first", "rows", "key", "block", "phase", "slot", "place", "weight", "period")}
     sizes = materialise(docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("docs")), "mix-sizes")
     sources = sizes.count()
     make = schedule if sources <= FOLDED else long_schedule
-    plan = materialise(make(sizes, weights, block_docs, max(SLOTS, slots_a_source * sources)), "mix-plan")
+    plan = materialise(make(sizes, weights, block_docs, max(SLOTS, slots_a_source * sources)), "mix-plan", instead_of=sizes)
     if sources > FOLDED:
         plan = plan.withColumn("block", F.explode(F.expr("sequence(base, base + used - 1)")))
         plan = plan.select("source", "block", "phase", "weight", "period", F.expr("start + (block - base) div weight * period + get(slots, cast((block - base) % weight as int))").alias("at"))
@@ -186,7 +186,7 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | N
         joined = rows.join(renamed, same & (F.col(names["block"]) == p("block")))
         slot = p("at")
     else:
-        # At most FOLDED sources and phases: a broadcast of a proven size.
+        # A phase ends with a source, so at most FOLDED * (FOLDED + 1) / 2 rows: a broadcast of a proven size.
         joined = rows.join(F.broadcast(renamed), same & (F.col(names["block"]) >= p("base")) & (F.col(names["block"]) < p("base") + p("used")))
         local = F.col(names["block"]) - p("base")
         slot = p("start") + F.floor(local / p("weight")) * p("period") + F.get(p("slots"), (local % p("weight")).cast("int"))
@@ -220,8 +220,6 @@ def ordered(docs: DataFrame, weights: dict[str | None, int] | None = None, id_co
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """The schedule of all of ``documents``."""
-    from .common import documents
-
     return positions(documents(spark, sf_dir))
 
 

@@ -1,7 +1,8 @@
 """Sharding over fixed virtual slots with a versioned slot-to-shard map.
 
-Records are hashed into ``SLOTS`` slots; a record's slot never changes. Bytes are
-summed by slot, and a map says which shard owns a slot. Rebalancing edits the
+Records are hashed into ``SLOTS`` slots, by id and text, so that many copies of one text
+spread over slots and shards instead of filling one; a record's slot never changes.
+Bytes are summed by slot, and a map says which shard owns a slot. Rebalancing edits the
 map: it moves, or exchanges, the slots that even out the shards' bytes and stores
 the result as a new version; adding a shard moves slots only into the new one.
 The map has ``SLOTS`` rows a version, so it is small whatever the data.
@@ -21,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import documents, materialise, work_path
+
 SLOTS = 4096
 SHARDS = 16
 EDITS = 20_000
@@ -141,8 +144,6 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """All rows of ``docs`` in shards of near equal bytes: doc_id, size, text_crc32, law,
     shard, slot, grown_shard (null under this law) and vslot."""
-    from .common import materialise, work_path
-
     spark = docs.sparkSession
     rows = materialise(records(docs, slots=slots), "shard-records")
     weight = slot_bytes(rows, slots)
@@ -154,6 +155,4 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFram
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """All of ``documents`` in 16 shards."""
-    from .common import documents
-
     return shard(documents(spark, sf_dir))
