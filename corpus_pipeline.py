@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm import bpe, mixing, secret_scan, simhash, toxicity
-from daybook.llm.common import documents, fresh, materialise, ready
+from daybook.llm.common import documents, fresh, materialise, ready, sweep, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``; what a stage returns is written and read again.
+
+    Once it is written, the tables that the stage worked with, its input among them, go.
+    """
+    docs, before = documents(spark, sf_dir), written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, name)
+            sweep(before, docs)
     return docs
