@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import os
-import shutil
 import uuid
 import weakref
 import zipfile
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.work import shared_dir
+
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Texts are long rows: fewer of them at a time, between JVM and workers and from files.
 SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "1024"}
@@ -33,25 +33,6 @@ def is_local(spark: SparkSession) -> bool:
     return master.startswith("local") and "cluster" not in master
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a folder of its own, removed at exit;
-    a cluster session is refused, since no other folder is known to be shared.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not is_local(spark):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-    os.makedirs(own)
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    sc.setCheckpointDir(own)
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
