@@ -13,11 +13,9 @@ weights; within each phase the deviation is again less than a block. No row is l
 or repeated.
 
 Default weights are proportional to the square root of a source's documents, in
-integers of at least 1, rounded down from shares of a number of slots. :func:`mixed` and
-:func:`ordered` take ``SLOTS_A_SOURCE`` slots a source, ``SLOTS`` at least, so weights stay
-in proportion for any number of sources. :func:`positions` takes ``SLOTS``, as its SQL does:
-with some hundred sources or more its weights draw near to equal ones. Explicit integer
-weights can be given.
+integers of at least 1, rounded down from shares of ``SLOTS_A_SOURCE`` slots a source,
+``SLOTS`` at least, so weights stay in proportion for any number of sources. Explicit
+integer weights can be given.
 
 Numbering: rows get one of ``BUCKETS`` hash buckets of their id, a source's buckets are
 numbered in turn, and rows within (source, bucket) by id; so a source with a third of
@@ -169,12 +167,12 @@ def schedule(sizes: DataFrame, weights: dict[str | None, int] | None = None, blo
                        F.expr("filter(transform(p.order, (x, t) -> if(x = i, t, null)), t -> t is not null)").alias("slots"))
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, int] | None, block_docs: int, slots_a_source: int = 0) -> tuple[DataFrame, dict[str, str]]:
+def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, int] | None, block_docs: int) -> tuple[DataFrame, dict[str, str]]:
     names = {x: fresh(docs, f"mix_{x}") for x in ("bucket", "n", "first", "rows", "key", "block", "phase", "slot", "place", "weight", "period")}
     sizes = materialise(docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("docs")), "mix-sizes")
     sources = sizes.count()
     make = schedule if sources <= FOLDED else long_schedule
-    plan = materialise(make(sizes, weights, block_docs, max(SLOTS, slots_a_source * sources)), "mix-plan", instead_of=sizes)
+    plan = materialise(make(sizes, weights, block_docs, max(SLOTS, SLOTS_A_SOURCE * sources)), "mix-plan", instead_of=sizes)
     if sources > FOLDED:
         plan = plan.withColumn("block", F.explode(F.expr("sequence(base, base + used - 1)")))
         plan = plan.select("source", "block", "phase", "weight", "period", F.expr("start + (block - base) div weight * period + get(slots, cast((block - base) % weight as int))").alias("at"))
@@ -213,7 +211,7 @@ def ordered(docs: DataFrame, weights: dict[str | None, int] | None = None, id_co
     They follow from ids and sources alone: for ids that are neither null nor repeated, any
     order or partitioning of the rows gives the same ones.
     """
-    placed, names = _placed(docs, id_col, source_col, weights, block_docs, SLOTS_A_SOURCE)
+    placed, names = _placed(docs, id_col, source_col, weights, block_docs)
     at = names["slot"], names["place"]
     return placed.repartitionByRange(*at).sortWithinPartitions(*at).select(*[F.col(f"`{c}`") for c in docs.columns], *at), *at
 
@@ -227,7 +225,7 @@ SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR), 1, 3))::INT AS bucket FROM documents),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY bucket, doc_id) - 1 AS n FROM d),
 s AS (SELECT source, count(*) AS docs, floor(sqrt(count(*)::DOUBLE) * 1000)::BIGINT AS u FROM d GROUP BY source),
-t AS (SELECT source, ((docs + 15) // 16)::BIGINT AS m, greatest(1, u * 360 // (SELECT sum(u)::BIGINT FROM s))::BIGINT AS k FROM s),
+t AS (SELECT source, ((docs + 15) // 16)::BIGINT AS m, greatest(1, u * (SELECT greatest(360, 16 * count(*)) FROM s) // (SELECT sum(u)::BIGINT FROM s))::BIGINT AS k FROM s),
 c AS (SELECT list(source ORDER BY source NULLS FIRST) AS names, list(k ORDER BY source NULLS FIRST) AS k, list(m ORDER BY source NULLS FIRST) AS m, sum(m)::BIGINT AS total FROM t),
 -- One row a slot: done and left by source, the phase's start, its blocks by source and weights; pick is the source that runs.
 sim AS (

@@ -427,7 +427,7 @@ def test_secret_query(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("query", "sql"), [(line_quality.op5, line_quality.SQL), (mixing.op9, mixing.SQL)])
-@pytest.mark.parametrize("case", ["hard", "lines", "data", "empty"])
+@pytest.mark.parametrize("case", ["hard", "lines", "data", "empty", "sources"])
 def test_native_queries_match_sql(spark, tmp_path, query, sql, case):
     import duckdb
 
@@ -437,6 +437,8 @@ def test_native_queries_match_sql(spark, tmp_path, query, sql, case):
     if case == "lines":
         rows = [(k, "\n".join([shared.upper() if k % 3 else shared, *(" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 15))) for _ in range(rng.randint(0, 4)))]), "en", rng.choice(["a", "a", "b", None]), 1) for k in range(300)]
         rows += [(1000 + k, " ".join(["one two three four five six seven"] * rng.randint(1, 4)), "en", f"s{k}", 1) for k in range(20)]
+    if case == "sources":
+        rows = [(k, "some text", "en", "hot" if k % 3 == 0 else f"s{k % 47}", 1) for k in range(900)]
     path = SF if case == "data" else put(empty(spark) if case == "empty" else crowded(spark, rows), tmp_path)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet{'' if case == 'data' else '/*.parquet'}')")
@@ -506,6 +508,8 @@ def test_many_sources_are_mixed_in_proportion(spark):
     rows = [(k, "t", "en", "hot" if k % 3 == 0 else f"s{k % 2999}", 1) for k in range(30_000)]
     docs = table(spark, rows).withColumn("n_chars", F.lit(1)).repartition(4)
     got = mixing.positions(docs).collect()
+    kept = {r.source: r.weight / r.period for r in got if r.phase == 0}
+    assert abs(kept["hot"] / (100 / (100 + sum(np.sqrt(np.unique([r[3] for r in rows if r[3] != "hot"], return_counts=True)[1])))) - 1) < 0.1
     assert len({r.source for r in got}) == 3000 and sorted(r.doc_id for r in got) == list(range(30_000)) and len({(r.slot, r.place) for r in got}) == 30_000
     out, slot, _ = mixing.ordered(docs)
     placed = out.select("source", slot).distinct().collect()
