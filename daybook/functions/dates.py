@@ -74,3 +74,33 @@ def day_label(md: str) -> str:
     """Jul 4 of 07-04."""
     month, day = map(int, md.split("-"))
     return f"{calendar.month_abbr[month]} {day}"
+
+
+def span_label(start: date, end: date) -> str:
+    """Jul 4, 2020; Jul 4-6, 2020; Jul 30 - Aug 2, 2020; Dec 30, 2020 - Jan 2, 2021."""
+    name = lambda d: f"{calendar.month_abbr[d.month]} {d.day}"
+    if start == end:
+        return f"{name(start)}, {start.year}"
+    if (start.year, start.month) == (end.year, end.month):
+        return f"{name(start)}-{end.day}, {start.year}"
+    if start.year == end.year:
+        return f"{name(start)} - {name(end)}, {end.year}"
+    return f"{name(start)}, {start.year} - {name(end)}, {end.year}"
+
+
+def bucket_label(unit: str, year: int, month: int | None = None, season: str | None = None) -> str:
+    """Jan 2020, 2020, 2019-20 of a snow season, winter 2019-20, summer 2020."""
+    if unit == "month" and month:
+        return f"{calendar.month_abbr[month]} {year}"
+    if unit == "snow_season":
+        return season_label(year)
+    if unit == "season" and season:
+        return f"{season} {season_label(year) if season == 'winter' else year}"
+    return str(year)
+
+
+def months_label(months: tuple[int, ...]) -> str:
+    """Jun-Aug for three or more in a row, else Jan, Mar, Jul."""
+    names = [calendar.month_abbr[m] for m in months]
+    run = list(months) == list(range(months[0], months[0] + len(months)))
+    return f"{names[0]}-{names[-1]}" if run and len(months) > 2 else ", ".join(names)

@@ -227,3 +227,25 @@ def ranking(rows: DataFrame, by: str = "value") -> DataFrame:
     order = [at, *["bucket_month"] * ("bucket_month" in rows.columns)]
     x = F.row_number().over(Window.partitionBy("station_id").orderBy("rank", *order)) - 1
     return rows.select("station_id", x.alias("x"), label.alias("label"), "rank", F.col(by).alias("value"))
+
+
+def summary(points: DataFrame, q: Query) -> DataFrame:
+    """What a sentence may say of a series, a row a station: its span, highest, lowest and mean, the departures
+    from normal, the trend, and for a running total its end beside the normal one. Ties: the latest point."""
+    x = "x" if "x" in points.columns else "x_num"
+    rows = points.filter(F.col("value").isNotNull())
+    if q.display == "cumulative":
+        last = lambda c: F.max_by(c, x).alias(f"{c}_to_date")
+        return rows.groupBy("station_id").agg(F.min(x).alias("first"), F.max(x).alias("last"), *[last(c) for c in ("value", "normal", "anomaly") if c in points.columns])
+    n = digits(q)
+    made = [F.count("*").alias("points"), F.min(x).alias("first"), F.max(x).alias("last"), F.max("value").alias("highest"), F.max_by(x, F.struct("value", x)).alias("highest_at"), F.min("value").alias("lowest"), F.max_by(x, F.struct(-F.col("value"), x)).alias("lowest_at"), rounded(F.avg("value"), n).alias("mean")]
+    if "anomaly" in points.columns:
+        some = F.when(F.col("anomaly").isNotNull(), F.struct(F.col("anomaly").alias("a"), F.col(x).alias("x")))
+        low = F.when(F.col("anomaly").isNotNull(), F.struct((-F.col("anomaly")).alias("a"), F.col(x).alias("x")))
+        made += [rounded(F.avg("anomaly"), n).alias("mean_departure"), F.max(some).alias("furthest_above"), F.max(low).alias("_low")]
+    if "per_decade" in points.columns:
+        made.append(F.first("per_decade").alias("per_decade"))
+    if "record_set" in points.columns:
+        made.append(F.sort_array(F.collect_list(F.when(F.col("record_set").isNotNull(), F.struct(F.col(x).alias("x"), "record_set")))).alias("records"))
+    out = rows.groupBy("station_id").agg(*made)
+    return out.withColumn("furthest_below", F.struct((-F.col("_low.a")).alias("a"), F.col("_low.x").alias("x"))).drop("_low") if "_low" in out.columns else out

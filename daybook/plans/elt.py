@@ -251,6 +251,11 @@ class Store:
         df.write.parquet(f"{self.root}/{name}/{version}")
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows to the current version, as files of their own."""
+        version = self.spark.read.text(self._pointer(name)).first()[0]
+        df.write.mode("append").parquet(f"{self.root}/{name}/{version}")
+
     def purge(self, name: str, spare: int = 1) -> int:
         """Deletes versions that are not current, but for the ``spare`` newest of them, which late
         readers may still hold; gives the number deleted."""
