@@ -209,6 +209,13 @@ def test_a_text_to_a_station(spark):
     assert [(r.how, r.ghcn_id) for r in stations.station_for(st, aliases, places, "reagan").collect()] == [("named", "DCA")]
     assert [(r.how, r.ghcn_id) for r in stations.station_for(st, aliases, places, "Vienna, VA").collect()] == [("only one", "IAD")]
     assert len(stations.station_for(st, aliases, places, "Vienna").collect()) == 2
+    by = lambda text, near: [(r.how, r.ghcn_id) for r in stations.station_for(st, aliases, places, text, near).collect()]
+    assert by("Vienna", (38.9, -77.3)) == [("only one", "IAD")] and by("Vienna", (39.3, -81.5)) == [("none", None)]
+    # Far from every place of the name: the coordinates count if a station is near them, else the name does.
+    assert by("Paris, Texas", (45.6, -122.6)) == [("ask", None)]
+    assert by("London, England", (0.0, 0.0)) == [("none", None)] and by("Tinyville", (38.93, -77.45)) == [("only one", "IAD")]
+    both = places.filter("geonameid = 9").withColumn("geonameid", F.col("geonameid") + 100).unionByName(places)
+    assert len(stations.station_for(st, aliases, both.filter("geonameid <> 8"), "Vienna").collect()) == 1
     for text in ("", "<UNKNOWN>", "n/a", None):
         with pytest.raises(ValueError):
             stations.station_for(st, aliases, places, text)
