@@ -33,7 +33,6 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -162,14 +161,15 @@ class Encoder(dict):
     Where the tokenizer drops white space and splits at it, a text's ids are the ids
     of its words in turn; each distinct word then goes through the library's
     normalizer, splitter and model once a worker (this dictionary, from a word to its
-    packed ids, and the half that it replaced when it was full are bounded in bytes). For printable text below U+0250 the
+    packed ids, and the half that it replaced when it was full are bounded in bytes; a rare
+    word and the comma or stop behind it are looked up apart). For printable text below U+0250 the
     normalizer only lowers letters, and the split is that of ``PLAIN_PIECES``, so the
     pieces of such words go straight to the model. Words that hold a special token's opening, and all texts of other
     tokenizers, are encoded by the library in one call.
     """
 
-    #: Of an entry in a dictionary, besides its key and value.
-    SLOT = 60
+    #: Of an entry in a dictionary, besides the bytes of its key and value.
+    SLOT = 140
 
     def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
@@ -177,24 +177,33 @@ class Encoder(dict):
         self.most, self.size, self.old = memo_bytes // 2, 0, {}
 
         self.library = Tokenizer.from_file(path)
+        self.packed = [struct.pack("<I", k) for k in range(max(self.library.get_vocab().values()) + 1)]
         with open(path) as f:
             config = json.load(f)
         self.by_word = splits_at_space(config)
         special = [re.escape(t["content"].encode()) for t in config.get("added_tokens", [])]
         self.special = re.compile(b"|".join(special) or b"(?!)").search
         self.letters_are_plain = not any(t["content"].isalpha() for t in config.get("added_tokens", []))
+        # A mark of these after a letter is a piece of its own, and no special token holds one.
+        self.trail = frozenset(b",.;:!?") - frozenset(b"".join(t["content"].encode() for t in config.get("added_tokens", [])))
 
     def piece(self, piece: str) -> bytes:
         """The ids of what the splitter gave, before the byte-level alphabet."""
         known = self.library.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS))
-        return struct.pack(f"<{len(known)}I", *[t.id for t in known])
+        return b"".join([self.packed[t.id] for t in known])
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self.made(word)
+            if word[-1] in self.trail and len(word) > 1 and 97 <= word[-2] | 32 <= 122:
+                ids = self.get(word[:-1])
+                if ids is None:
+                    return self[word[:-1]] + self[word[-1:]]  # not kept yet: its parts are
+                ids += self[word[-1:]]
+            else:
+                ids = self.made(word)
         if len(word) <= MEMO_CHARS:
-            self.size += getsizeof(word) + getsizeof(ids) + self.SLOT
+            self.size += len(word) + len(ids) + self.SLOT
             if self.size > self.most:
                 self.old, self.size = dict(self), 0
                 self.clear()
