@@ -37,6 +37,7 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 HOT = 10_000
 COPY = 1 << FILTERS.index("E")
+BITS = ("b1", "b2", "b3", "b4", "b5")
 
 
 def bit(letter: str, fails: Column) -> Column:
@@ -80,27 +81,30 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def orders(spark: SparkSession) -> DataFrame:
-    """The 120 orders: filter_order and bits, the five filters' bits in that order."""
-    rows = [("".join(p), [1 << FILTERS.index(c) for c in p]) for p in permutations(FILTERS)]
-    return spark.createDataFrame(rows, "filter_order string, bits array<int>").coalesce(1)
+    """The 120 orders: order (a number), filter_order and the bits of its filters, b1 to b5."""
+    rows = [(k, "".join(p), *(1 << FILTERS.index(c) for c in p)) for k, p in enumerate(permutations(FILTERS))]
+    return spark.createDataFrame(rows, "order int, filter_order string, " + ", ".join(f"{b} int" for b in BITS)).coalesce(1)
 
 
 def replayed(flags: DataFrame) -> DataFrame:
     """The counts of every (part, filter_order, step) over rows of (part, fails, good, toxic)."""
-    fails, bits = F.col("fails"), F.col("bits")
-    first = F.lit(len(FILTERS) + 1)
-    for k in reversed(range(len(FILTERS))):
-        first = F.when(fails.bitwiseAND(bits[k]) != 0, k + 1).otherwise(first)
-    runs = flags.crossJoin(F.broadcast(orders(flags.sparkSession))).select("part", "fails", "good", "toxic", "filter_order", "bits", first.alias("first"))
-    steps = runs.select("part", "fails", "good", "toxic", "filter_order", "first", F.posexplode("bits").alias("at", "bit"))
-    step = F.col("at") + 1
+    every = orders(flags.sparkSession)
+    fails, first, bit = F.col("fails"), F.lit(len(FILTERS) + 1), F.lit(0)
+    for k, b in reversed(list(enumerate(BITS, 1))):
+        first = F.when(fails.bitwiseAND(F.col(b)) != 0, k).otherwise(first)
+        bit = F.when(F.col("step") == k, F.col(b)).otherwise(bit)
+    runs = flags.crossJoin(F.broadcast(every.drop("filter_order"))).withColumn("first", first)
+    steps = runs.withColumn("step", F.explode(F.array(*[F.lit(k) for k in range(1, len(BITS) + 1)])))
+    step = F.col("step")
     here, gone = F.col("first") == step, F.col("first") < step
     count = lambda met, name: F.sum(F.when(met, 1).otherwise(0)).cast("long").alias(name)
-    made = steps.groupBy("part", "filter_order", step.alias("step"), "bit").agg(
-        count(F.col("first") > step, "kept"), count(here, "removed"), count(gone & (fails.bitwiseAND(F.col("bit")) != 0), "redundant"),
-        count(fails == F.col("bit"), "unique_fails"), count(here & (F.col("good") == 1), "good_lost"), count(here & (F.col("toxic") == 1), "toxic_lost"),
+    made = steps.groupBy("part", "order", "step").agg(
+        count(F.col("first") > step, "kept"), count(here, "removed"), count(gone & (fails.bitwiseAND(bit) != 0), "redundant"),
+        count(fails == bit, "unique_fails"), count(here & (F.col("good") == 1), "good_lost"), count(here & (F.col("toxic") == 1), "toxic_lost"),
     )
-    return made.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", "bit"))).drop("bit")
+    letter = F.substring("filter_order", F.col("step"), F.lit(1))
+    named = made.join(F.broadcast(every.select("order", "filter_order")), "order").drop("order")
+    return named.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", letter)))
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
