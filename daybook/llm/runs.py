@@ -273,7 +273,8 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
 
 
 def repeating(id_: Column, text: Column) -> Column:
-    """One text in ten, by the crc32 of its id, with a passage to its end that repeats: what the query is asked to look into."""
+    """One text in ten, by the crc32 of its id, with a passage to its end that repeats: what the query is asked
+    to look into. Without an id a text stays as it is."""
     h = F.crc32(id_.cast("string").cast("binary"))
     g = F.floor(h / 10)
     inner = F.btrim(text, F.lit(SPACE))
@@ -304,8 +305,8 @@ def op12(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 -- crc32 of the decimal id, eight bit steps a character
-h AS (SELECT r, doc_id, ws, len(ws)::BIGINT AS n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
-    lambda acc, b: xor(xor(acc, b) >> 1, 3988292384 * (xor(acc, b) & 1)))) AS h FROM d),
+h AS (SELECT r, doc_id, ws, len(ws)::BIGINT AS n, CASE WHEN doc_id IS NOT NULL THEN xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda acc, b: xor(xor(acc, b) >> 1, 3988292384 * (xor(acc, b) & 1)))) END AS h FROM d),
 q AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM h WHERE n > 0),
 w AS (SELECT r, CASE WHEN h % 10 = 0 THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws, n FROM q),
 tok AS (SELECT r, n, i, ws[i + 1] AS word FROM (SELECT r, n, ws, unnest(range(0, n)) AS i FROM w)),
