@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from .elt import Store, upsert
+from .elt import upsert
 from .query import DATE_AGGREGATIONS, Query
+from .store import Store
 
 TURN = "turn_id string, user_id string, session_id string, turn_index int, created_at timestamp, prompt string, response string, status string, resolved_json string, model string, error string, station_id string"
 USER = "user_id string, username string, email string, display_name string, created_at timestamp, last_seen_at timestamp, is_active boolean, temp_unit string, home_location string"
@@ -22,10 +23,7 @@ KEPT_CHARTS = 50
 def record_turn(store: Store, turn: dict[str, object], name: str = "chat_history") -> None:
     """Adds one turn to the stored history as files of its own; what is there isn't read or written again."""
     row = store.spark.createDataFrame([tuple(turn.get(c.split()[0]) for c in TURN.split(", "))], TURN)
-    if store.exists(name):
-        store.append(name, row)
-    else:
-        store.overwrite(name, row)
+    store.append(name, row)
 
 
 def see_user(users: DataFrame, seen: DataFrame) -> DataFrame:

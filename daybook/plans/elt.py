@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CUTOFF_DAYS, OBSERVED
@@ -81,12 +79,21 @@ def by_precedence(rows: DataFrame, last: DataFrame) -> DataFrame:
     return kept.filter(~(ghcn & recent & ~some)).drop("_n", "cutoff")
 
 
+def once(source: DataFrame, keys: list[str]) -> DataFrame:
+    """The source, marked by _s; a key that it repeats is an error, as it is in a merge."""
+    repeated = F.raise_error(F.concat(F.lit("the source repeats the key "), F.to_json(F.struct(*keys))))
+    return source.withColumn("_s", F.when(F.count("*").over(Window.partitionBy(*keys)) > 1, repeated.cast("boolean")).otherwise(True)).filter("_s")
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Target after the source is merged in: unmatched rows of both stay; a matched row takes the
-    source's values where ``update`` (over t_ and s_ columns; None: always) holds, but for ``keep``."""
+    source's values where ``update`` (over t_ and s_ columns; None: always) holds, but for ``keep``.
+
+    A key may occur once in the source; the rows' number by key shares the join's shuffle.
+    """
     t = target.select(*keys, *[F.col(c).alias(f"t_{c}") for c in target.columns if c not in keys], F.lit(True).alias("_t"))
-    s = source.select(*keys, *[F.col(c).alias(f"s_{c}") for c in source.columns if c not in keys], F.lit(True).alias("_s"))
-    takes = F.col("_t").isNull() | (F.col("_s").isNotNull() & F.coalesce(F.lit(True) if update is None else update, F.lit(False)))
+    s = once(source, keys).select(*keys, *[F.col(c).alias(f"s_{c}") for c in source.columns if c not in keys], "_s")
+    takes = F.col("_s").isNotNull() & (F.col("_t").isNull() | F.coalesce(F.lit(True) if update is None else update, F.lit(False)))
     out = []
     for c in target.columns:
         if c in keys:
@@ -223,55 +230,3 @@ def nightly(ghcn: DataFrame, acis: DataFrame, allowed: DataFrame, keep) -> tuple
     """
     clean = keep(convert(blank_flagged(ghcn, allowed)))
     return clean, keep(by_precedence(union_sources(clean, map_codes(acis)), cutoff(clean)))
-
-
-class Store:
-    """Tables as Parquet folders; an upsert writes a new version and then names it current.
-
-    The pointer is a one-row table of version folders, written last, so a reader or a
-    retry sees the old version or the new one, whole.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
-
-    def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(name) + "/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def read(self, name: str) -> DataFrame:
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
-
-    def overwrite(self, name: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
-
-    def append(self, name: str, df: DataFrame) -> None:
-        """Adds rows to the current version, as files of their own."""
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        df.write.mode("append").parquet(f"{self.root}/{name}/{version}")
-
-    def purge(self, name: str, spare: int = 1) -> int:
-        """Deletes versions that are not current, but for the ``spare`` newest of them, which late
-        readers may still hold; gives the number deleted."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        current = self.spark.read.text(self._pointer(name)).first()[0]
-        old = [(f.getModificationTime(), f.getPath()) for f in files.listStatus(folder) if f.getPath().getName().startswith("v-") and f.getPath().getName() != current]
-        gone = sorted(old, key=lambda x: x[0], reverse=True)[spare:]
-        for _, path in gone:
-            files.delete(path, True)
-        return len(gone)
-
-    def upsert(self, name: str, df: DataFrame, keys: list[str], update: Column | None = None, keep: tuple[str, ...] = ()) -> None:
-        """Creates the table or merges into it; an empty source changes nothing."""
-        if not self.exists(name):
-            self.overwrite(name, df)
-        elif not df.isEmpty():
-            self.overwrite(name, upsert(self.read(name), df, keys, update, keep))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.elt import KEY, Store
+from ..plans.elt import KEY
+from ..plans.store import Store
 
 SCHEMA = "station_id string, obs_date date, variable string, value double, mflag string, qflag string, sflag string, ingested_at timestamp"
 

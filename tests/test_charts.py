@@ -9,6 +9,7 @@ from daybook.functions import dates
 from daybook.operators import analysis
 from daybook.plans import answers, charts, elt, query, stations, tools, work
 from daybook.plans.query import Query, Threshold
+from daybook.plans.store import Store
 from daybook.sources import parse
 
 TODAY = date(2026, 3, 15)
@@ -263,7 +264,7 @@ def test_aliases_are_loaded_from_a_file_and_overwritten(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ghcn_id,alias\nA,One| Two \nB,Three\n")
     got = stations.seed_aliases(spark, f"{tmp_path}/a.csv")
     assert sorted(tuple(r) for r in got.collect()) == [("A", "One"), ("A", "Two"), ("B", "Three")]
-    store = elt.Store(spark, f"{tmp_path}/store")
+    store = Store(spark, f"{tmp_path}/store")
     for n in (3, 2, 1):
         store.overwrite("aliases", got.limit(n))
     assert store.read("aliases").count() == 1 and store.purge("aliases") == 1 and store.purge("aliases", spare=0) == 1 and store.read("aliases").count() == 1
@@ -310,7 +311,7 @@ def test_limits_of_use():
 def test_turns_users_and_prefs(spark, tmp_path):
     from daybook.plans import chat
 
-    store = elt.Store(spark, f"{tmp_path}/chat")
+    store = Store(spark, f"{tmp_path}/chat")
     for k in range(3):
         chat.record_turn(store, {"turn_id": f"t{k}", "status": "resolved" if k else "error", "created_at": datetime(2026, 3, 15 - (k == 2), 9)})
     history = store.read("chat_history")

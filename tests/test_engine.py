@@ -10,6 +10,7 @@ from daybook.functions.columns import window_days
 from daybook.operators import analysis, daily, events, periods, records
 from daybook.plans import elt, query, stations, tools
 from daybook.plans.query import Query, Threshold
+from daybook.plans.store import Store
 from daybook.sources import parse
 
 D = date.fromisoformat
@@ -226,7 +227,7 @@ def test_store_and_stream(spark, tmp_path):
     schema = ingest.SCHEMA
     stamp = lambda h: __import__("datetime").datetime(2024, 1, 1, h)
     row = lambda v, h, d=1: ("A", date(2024, 1, d), "TMAX", v, None, None, None, stamp(h))
-    landing, store = str(tmp_path / "in"), elt.Store(spark, str(tmp_path / "store"))
+    landing, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
     spark.createDataFrame([row(1.0, 1), row(2.0, 2), row(5.0, 1, 2)], schema).write.mode("append").parquet(landing)
     ingest.ingest(spark, landing, store, "obs", str(tmp_path / "c")).awaitTermination()
     spark.createDataFrame([row(None, 3), row(6.0, 3, 2)], schema).write.mode("append").parquet(landing)
