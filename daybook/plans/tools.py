@@ -118,16 +118,6 @@ def chart_ranking(today: date, metric: str, of: str, order: str = "highest", n:
     return Query(metric, how, of, limit=n, season=season, months=months, station=station, **_period(today, **period))
 
 
-def dates_meant(q: Query, question: str) -> Query:
-    """A yearly "earliest" or "latest" with a threshold can only mean a first or last date: which one, the
-    question's "first" or "last" says, else earliest is first."""
-    if q.aggregation not in ("earliest", "latest") or q.unit not in ("year", "snow_season") or q.threshold is None:
-        return q
-    words = question.lower()
-    first = "first" in words if ("first" in words) != ("last" in words) else q.aggregation == "earliest"
-    return replace(q, aggregation="first_date" if first else "last_date")
-
-
 def grain_meant(q: Query, question: str) -> Query:
     """A monthly series over a year or less becomes daily where the question asks for days."""
     if q.aggregation != "series" or q.unit != "month" or not re.search(r"\b(daily|each day|every day|day by day)\b", question, re.I):

@@ -12,6 +12,7 @@ from .operators import analysis as an
 from .operators import daily, periods, records
 from .operators import events as ev
 from .plans import answers, charts, elt, stations, work
+from .plans import places as resolving
 from .plans import query as structured
 from .sources import adapters as ad
 from .sources import parse
@@ -955,7 +956,7 @@ def _qualified(s, d):
 
 @query("place_qualified", _w(_STATIONS, "q AS (SELECT p.geonameid, p.population FROM places p JOIN supplier ON s_suppkey = geonameid JOIN nation ON n_nationkey = s_nationkey WHERE n_name = 'NATION_6')") + "SELECT geonameid, population FROM q ORDER BY population DESC, geonameid LIMIT 1")
 def place_qualified(s, d):
-    return stations.find_place(_qualified(s, d), "Springfield Nation 6").select("geonameid", "population")
+    return resolving.find_place(_qualified(s, d), "Springfield Nation 6").select("geonameid", "population")
 
 
 @query("station_choice", _w(_STATIONS, "pl AS (SELECT geonameid, CASE WHEN geonameid % 3 = 0 THEN 'nation' ELSE 'supplier' END AS key, latitude, longitude FROM places)",
