@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from daybook.queries import QUERIES, SQL
+from daybook.table_queries import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
