@@ -12,6 +12,7 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+_lasting: set[str] = set()
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -46,19 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return qualified(spark, sc.getCheckpointDir())
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, for :func:`sweep` to delete."""
+def work_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A fresh path in the shared folder, for :func:`sweep` to delete; a ``lasting`` one stands until the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     if not _written:
-        atexit.register(sweep)
+        atexit.register(sweep, everything=True)
     _written[path] = spark
+    if lasting:
+        _lasting.add(path)
     return path
 
 
-def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """The table written once; its readers, and retries after a lost executor, start from the files."""
+def kept(df: DataFrame, name: str = "table", **options) -> DataFrame:
+    """The table written once; its readers, and retries after a lost executor, start from the files. ``options``: of the writer."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[made] = path
     return made
@@ -76,14 +79,14 @@ def written() -> frozenset[str]:
     return frozenset(_written)
 
 
-def sweep(before: frozenset[str] = frozenset(), but: DataFrame | None = None) -> None:
-    """Deletes the work paths that were given out since ``before``, except ``but``'s own.
+def sweep(before: frozenset[str] = frozenset(), but: DataFrame | None = None, everything: bool = False) -> None:
+    """Deletes the work paths that were given out since ``before``, except ``but``'s own and, unless ``everything`` goes, lasting ones.
 
     For whoever has stored what was made from them; runs over all at the end of the driver.
     """
     spared = _paths.get(but) if but is not None else None
     for path, spark in list(_written.items()):
-        if path not in before and path != spared:
+        if path not in before and path != spared and (everything or path not in _lasting):
             try:
                 delete(spark, path)
             except Exception:  # noqa: BLE001  the session is gone, or goes: local files still can be deleted, others are left to the folder's owner
@@ -94,5 +97,6 @@ def sweep(before: frozenset[str] = frozenset(), but: DataFrame | None = None) ->
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder through Spark's own file systems."""
     _written.pop(path, None)
+    _lasting.discard(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
