@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import uuid
-import weakref
 import zipfile
 from collections.abc import Callable, Hashable
 from pathlib import Path
@@ -14,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.work import shared_dir
+from ..plans.work import delete, discard, is_local, kept, sweep, work_path, written  # noqa: F401  operators and the pipeline take them from here
 
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Texts are long rows: fewer of them at a time, between JVM and workers and from files.
@@ -22,22 +19,9 @@ SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.exec
 #: Row groups of written texts: what a task holds while it writes.
 ROW_GROUP_BYTES = 16 << 20
 
-_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_written: dict[str, SparkSession] = {}
 _ready: set[str] = set()
 
 
-def is_local(spark: SparkSession) -> bool:
-    """One JVM on one machine, as in tests."""
-    master = spark.sparkContext.master
-    return master.startswith("local") and "cluster" not in master
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
@@ -45,52 +29,12 @@ def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -
     start from the written table. ``instead_of`` is a materialised table that nothing
     reads once this one stands; it is deleted.
     """
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    if not _written:
-        atexit.register(sweep)
-    _written[path] = spark
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    made = spark.read.schema(df.schema).parquet(path)
-    _paths[made] = path
+    made = kept(df, name, **{"parquet.block.size": ROW_GROUP_BYTES})
     if instead_of is not None:
         discard(instead_of)
     return made
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes what :func:`materialise` wrote for this table; other tables are left alone."""
-    path = _paths.pop(table, None)
-    if path:
-        delete(table.sparkSession, path)
-
-
-def written() -> frozenset[str]:
-    """The work tables that stand now, for :func:`sweep`."""
-    return frozenset(_written)
-
-
-def sweep(before: frozenset[str] = frozenset(), but: DataFrame | None = None) -> None:
-    """Deletes the work tables that were written since ``before``, except ``but``'s own.
-
-    For whoever has stored what was made from them; runs over all at the end of the driver.
-    """
-    spared = _paths.get(but) if but is not None else None
-    for path, spark in list(_written.items()):
-        if path not in before and path != spared:
-            try:
-                delete(spark, path)
-            except Exception:  # noqa: BLE001  the session is gone, or goes: its folder is left to its owner
-                _written.pop(path, None)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder through Spark's own file systems."""
-    _written.pop(path, None)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def ready(spark: SparkSession) -> None:
     """Workers can import this package, and batches stay small unless the session sets their size.
 
@@ -103,7 +47,7 @@ def ready(spark: SparkSession) -> None:
     if is_local(spark) or sc.applicationId in _ready:
         return
     _ready.add(sc.applicationId)
-    folder = work_path(spark, "package")
+    folder = work_path(spark, "package", lasting=True)
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{PACKAGE.name}.zip")
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
     out.write(bytearray(_zipped()))

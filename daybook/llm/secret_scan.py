@@ -1,9 +1,9 @@
 """Secrets: fixed rules, and novelty under a dictionary-primed zstandard compressor.
 
 Base spans (assign, access, hex) are found by fixed rules and always stay. A
-further candidate is a string of ``MIN_CHARS`` or more token characters, letters and
-digits among them, that stands within ``REACH`` characters before or after a sensitive
-word and touches no base span; every such string is measured. The name that holds the
+further candidate is a string of ``MIN_CHARS`` or more token characters, in quotes also of symbols, that stands within ``REACH`` characters before or after a sensitive
+word and touches no base span. It is measured unless it is made as words, names and counts are: letters alone,
+under ``MIN_LETTERS`` or seldom changing case, under ``MIN_DIGITS`` digits alone, a part of a mail address, or an address's host. The name that holds the
 word (``TOKEN_PROD``, ``password2``) is skipped, and ``=`` parts a name from its value. Its novelty is the
 marginal cost: the compressed size of its surroundings with it, less that of the
 surroundings alone, by a compressor primed with a dictionary of identifiers; the mean
@@ -32,7 +32,11 @@ from pyspark.sql import DataFrame
 from .common import documents, held, texts, trim
 
 KINDS = ("assign", "access", "hex", "novel")
-MIN_CHARS = 12
+MIN_CHARS = 10
+MIN_DIGITS = 18
+MIN_LETTERS = 16
+#: Letters alone are measured if so many in a hundred neighbours differ in case.
+CASE_PERCENT = 30
 MIN_BITS = 6.2
 REACH = 32
 AROUND = (32, 96, 160, 256)
@@ -45,6 +49,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 SENSITIVE_WORDS = ("pass", "secret", "token", "key", "auth", "bearer", "credential", "private", "signature", "pwd", "salt")
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|secret|token|\bkey|key\b|api_?key|_key|key_|(?-i:(?<=[a-z0-9])Key(?![a-z]))|auth|bearer|credential|private|signature|\bpwd|\bsalt\b", re.I | re.A)
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_CHARS)
+QUOTED = re.compile(r"""(["'`])([A-Za-z0-9+/_=.!@#$%%^&*-]{%d,128})\1""" % MIN_CHARS)
 VALUE = re.compile(r"[A-Za-z0-9+/_.-]+(?:=+(?![A-Za-z0-9+/_.-]))?")
 NAME = re.compile(r"[A-Za-z0-9_]+")
 #: What code and configuration are full of; a candidate made of these costs little.
@@ -68,6 +73,19 @@ def novelty(text: str, start: int, end: int) -> float:
     return 8 * cost / len(AROUND) / (end - start)
 
 
+def measured(text: str, start: int, end: int) -> bool:
+    """Whether the string could be a key by its make; novelty decides then."""
+    value = text[start:end]
+    if len(value) < MIN_CHARS or value.startswith("//") or text[start - 1 : start] == "@" or text[end : end + 1] == "@" or text[max(0, start - 3) : start] == "://":
+        return False
+    digits, letters = sum(x.isdigit() for x in value), [x for x in value if x.isalpha()]
+    if not letters:
+        return digits >= MIN_DIGITS
+    if digits:
+        return True
+    return len(value) >= MIN_LETTERS and 100 * sum(a.isupper() != b.isupper() for a, b in zip(letters, letters[1:], strict=False)) >= CASE_PERCENT * len(letters)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base rules, sorted."""
     out = []
@@ -115,8 +133,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         return (before >= 0 and s - ends[before] <= REACH) or (after < len(words) and starts[after] - e <= REACH)
 
     def novel(s: int, e: int) -> bool:
-        value = text[s:e]
-        if e - s < MIN_CHARS or not any(x.isdigit() for x in value) or not any(x.isalpha() for x in value) or not near(s, e):
+        if not measured(text, s, e) or not near(s, e):
             return False
         k = bisect.bisect_left(fixed, (e, -1))
         return not (k and reach[k - 1] > s) and novelty(text, s, e) >= MIN_BITS
@@ -134,6 +151,12 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             if a >= at and novel(a, b):
                 out.append((a, 3, b))
                 at = b
+    taken = [(s, e) for s, _, e in out]
+    for m in QUOTED.finditer(text):
+        s, e = m.span(2)
+        k = bisect.bisect_left(taken, (e, -1))
+        if not (k and taken[k - 1][1] > s) and not RUN.fullmatch(text, s, e) and novel(s, e):
+            out.append((s, 3, e))
     return out
 
 

@@ -1,7 +1,9 @@
 """Sharding over fixed virtual slots with a versioned slot-to-shard map.
 
 Records are hashed into ``SLOTS`` slots, by id and text, so that many copies of one text
-spread over slots and shards instead of filling one; a record's slot never changes.
+spread over slots and shards instead of filling one; a record's slot never changes. One row that is
+repeated until its copies exceed an average slot is spread by row number as well; fewer than ``SLOTS``
+rows can be repeated so often.
 Bytes are summed by slot, and a map says which shard owns a slot. Rebalancing edits the
 map: it moves, or exchanges, the slots that even out the shards' bytes and stores
 the result as a new version; adding a shard moves slots only into the new one.
@@ -11,8 +13,10 @@ Records get gapless numbers within their shard: rows are numbered inside
 (input partition, shard) groups, whose size is bounded by a partition, and each
 group starts where the shard's groups of earlier partitions end.
 
+The law is of bytes, over all rows: equal texts (the contract's groups) aren't kept together.
+
 Defined cases: a null text has size 1 and the crc32 of no bytes; a null id hashes
-by the text alone; repeated rows are rows of their own with one slot; an empty
+by the text alone; repeated rows are rows of their own, with one slot unless they are very many; an empty
 table gives an empty table and the map's first version; other columns are ignored.
 """
 
@@ -26,11 +30,10 @@ from .common import documents, materialise, work_path
 
 SLOTS = 4096
 SHARDS = 16
-EDITS = 20_000
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot (the virtual slot) and part (the input partition)."""
+    """doc_id, size, text_crc32, vslot (the virtual slot), part (the input partition), same (equal for repeated rows) and number (of the row)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
@@ -38,9 +41,21 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slo
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slots)).cast("int").alias("vslot"),
         F.spark_partition_id().alias("part"),
+        F.xxhash64(F.col(id_col), text).alias("same"),
+        F.monotonically_increasing_id().alias("number"),
     )
 
 
+def spread(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Stored :func:`records` in which a row that is repeated beyond an average slot's bytes goes to all slots."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    many = rows.groupBy("same").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("bytes") > total // slots)).select(F.col("same").alias("m_same"))
+    # Fewer than ``slots`` rows can each have over 1 / slots of the bytes.
+    met = rows.join(F.broadcast(many), F.col("same") == F.col("m_same"), "left")
+    anew = F.pmod(F.xxhash64("same", "number"), F.lit(slots)).cast("int")
+    return met.withColumn("vslot", F.when(F.col("m_same").isNotNull(), anew).otherwise(F.col("vslot"))).drop("m_same")
+
+
 def first_map(shards: int = SHARDS, slots: int = SLOTS) -> np.ndarray:
     """Version 1: slots dealt in turn."""
     return np.arange(slots, dtype=np.int64) % shards
@@ -53,7 +68,7 @@ def rebalance(owner: np.ndarray, weight: np.ndarray, shards: int) -> np.ndarray:
     owner = owner.copy()
     load = np.bincount(owner, weights=weight, minlength=shards).astype(np.int64)
     open_ = np.ones(shards, bool)
-    for _ in range(EDITS):
+    while True:  # each edit evens out two shards, so this ends
         high, low = int(np.where(open_, load, -1).argmax()), int(load.argmin())
         gap = int(load[high] - load[low])
         if gap <= 1 or not open_[high]:
@@ -145,7 +160,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFram
     """All rows of ``docs`` in shards of near equal bytes: doc_id, size, text_crc32, law,
     shard, slot, grown_shard (null under this law) and vslot."""
     spark = docs.sparkSession
-    rows = materialise(records(docs, slots=slots), "shard-records")
+    rows = spread(materialise(records(docs, slots=slots), "shard-records"), slots)
     weight = slot_bytes(rows, slots)
     versions = SlotMap(spark, work_path(spark, "slot-map"))
     versions.store(1, first_map(shards, slots))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held, trim
+from .common import documents, held, materialise, trim
 
 WINDOW, STRIDE = 48, 24
 WORD_BITS, CHAR_BITS = 16, 12
@@ -313,6 +313,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
     spark = docs.sparkSession
     usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("label_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("label_id") != 1))
     once = usable.groupBy("label_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter(F.col("toxic") == F.col("most")).drop("most")
+    # Labels of documents that aren't here take up no place.
+    once = materialise(docs.select("doc_id").join(once, F.col("doc_id") == F.col("label_id")).select("label_id", "toxic").distinct(), "labelled")
     chosen = [r for y in (0, 1) for r in once.filter(F.col("toxic") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(max_docs).collect()]
     if not chosen:
         return []

@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, a library, or an exact round trip."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -410,6 +411,26 @@ def test_planted_secrets_are_found_and_names_left():
     assert found / (found + missed) >= 0.9 and extra <= 0.05 * found
 
 
+@pytest.mark.parametrize(("letters", "n", "least"), [("ab1", 24, 190), ("ab1", 16, 190), ("ab1", 10, 160), ("ab", 24, 180), ("1", 20, 190), ("f", 24, 190)])
+def test_keys_of_many_makes_are_found(letters, n, least):
+    """Of 200 random keys of each make: mixed, letters alone, digits alone, hexadecimal. One in six of ten characters has no digit and is too short for letters alone."""
+    import string
+
+    rng = random.Random(9)
+    made = {"ab1": string.ascii_letters + string.digits, "ab": string.ascii_letters, "1": string.digits, "f": "0123456789abcdef"}[letters]
+    hits = 0
+    for _ in range(200):
+        key = "".join(rng.choice(made) for _ in range(n))
+        text = f"the secret for the build server is {key} and it stays"
+        hits += any(s <= text.index(key) and e >= text.index(key) + n for s, _, e in secret_scan.spans(text)[1])
+    assert hits >= least
+
+
+@pytest.mark.parametrize("text", ["the secret contact is qx7Kd93hTq2@mail6Qz81.example.com today", "token: see https://h7Gk29sQwe81.example.org", "private DocumentationBuilderFactory here", "the key numbers 4711 0815 2024"])
+def test_addresses_and_names_are_left(text):
+    assert [x for x in secret_scan.spans(text)[1] if x[1] == 3] == []
+
+
 def test_secrets_in_long_runs_are_linear():
     for text in ("token=a" * 60_000, "key " * 100_000, "a1" * 200_000 + " key", "private-ab12cd34ef56gh78." * 15_000):
         secret_scan.spans(text)
@@ -582,6 +603,14 @@ def test_toxicity_held_out(spark, tmp_path):
     assert sum(right) / len(right) > 0.9
 
 
+def test_labels_of_absent_documents_take_no_place(spark):
+    ready(spark)
+    docs = table(spark, [(k, f"text number {k}", "en", "a", 1) for k in range(40)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(4000)], "doc_id bigint, quality int, toxic int")
+    here = [k for k in range(40) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(toxicity.training_sample(docs, labels, max_docs=50)) == len(here)
+
+
 def test_toxicity_without_labels(spark, tmp_path):
     put(table(spark), tmp_path)
     put(spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), tmp_path, "labels")
@@ -741,6 +770,21 @@ def test_work_tables_go(spark, tmp_path):
             gone.count()
 
 
+@pytest.mark.parametrize("query", ["op1_token_blocks", "op5_line_quality", "op8_virtual_slots", "op9_pfair_mix", "op10_simhash", "op11_filter_audit", "op13_line_dedup"])
+def test_nothing_is_left_after_a_sweep(spark, query):
+    from daybook.llm.queries import QUERIES
+    from daybook.plans import work
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    folder = work.shared_dir(spark).removeprefix("file:")
+    work.sweep(everything=True)
+    before = set(os.listdir(folder))
+    assert QUERIES[query](spark, SF).count() > 0
+    work.sweep(everything=True)
+    assert set(os.listdir(folder)) == before and not work.written()
+
+
 def test_folders_that_spark_names():
     from pyarrow import fs
 
@@ -785,6 +829,14 @@ def test_shards(spark, tmp_path):
     assert max(rest) - min(rest) < 0.02 * max(rest)
 
 
+def test_one_row_repeated_is_spread(spark, tmp_path):
+    rows = [(7, "the same text", "en", "a", 1)] * 15_000 + [(100 + k, "another text", "en", "a", 1) for k in range(5_000)]
+    got = sharding.op8(spark, put(table(spark, rows), tmp_path)).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots")).collect()
+    loads = [r.b for r in got]
+    assert len(got) == 16 and sum(r.n for r in got) == 20_000 and all(r.n == r.slots == r.last + 1 for r in got)
+    assert max(loads) - min(loads) < 0.02 * max(loads)
+
+
 def test_map_versions(spark, tmp_path):
     weight = np.random.default_rng(0).integers(0, 1000, sharding.SLOTS)
     first = sharding.first_map()
