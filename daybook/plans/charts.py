@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as v
 from ..functions.columns import celsius, decimals, rounded, season_day
 from ..operators import analysis as an
+from ..operators import state as summed
 from .query import Query, raw_series
 
 
@@ -79,10 +80,19 @@ def climatology_points(found: DataFrame, q: Query) -> DataFrame:
     return found.select("station_id", F.col(key).alias("x"), value.alias("value"), sd.alias("stddev"), rounded(value - sd, digits(q)).alias("lower"), rounded(value + sd, digits(q)).alias("upper"), "n_years", *records)
 
 
-def normals(obs: DataFrame, q: Query) -> tuple[DataFrame, list[str]]:
+def by_day(obs: DataFrame, q: Query, state: DataFrame | None) -> DataFrame:
+    """A calendar-day query's points: from stored sums where there are some (:mod:`operators.state`), else from the days."""
+    if state is None or q.unit != "day_of_year" or q.period_aggregation == "any":
+        return raw_series(obs, q)
+    first, last = (summed.ALL_YEARS if q.start == v.ALL_TIME else (int(q.start[:4]), int(q.end[:4])))
+    found = summed.day_of_year(state, q.metric, first, last)
+    return found if q.station is None else found.filter(F.col("station_id") == q.station)
+
+
+def normals(obs: DataFrame, q: Query, state: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """(station_id, key columns, normal, normal_stddev) of the baseline, unrounded, where enough of its years have a value."""
     base = normals_query(q)
-    found = raw_series(obs, base)
+    found = by_day(obs, base, state)
     years = q.baseline[1] - q.baseline[0] + 1
     if q.unit == "day":
         both = an.smoothed(found).withColumnRenamed("smoothed", "normal").join(an.smoothed(found, "stddev").withColumnRenamed("smoothed", "normal_stddev"), ["station_id", "day"])
@@ -96,9 +106,9 @@ def normals(obs: DataFrame, q: Query) -> tuple[DataFrame, list[str]]:
     return an.year_normals(found).filter(F.col("n_years") >= v.NORMAL_SHARE * years).drop("n_years"), []
 
 
-def with_normals(points: DataFrame, obs: DataFrame, q: Query) -> DataFrame:
+def with_normals(points: DataFrame, obs: DataFrame, q: Query, state: DataFrame | None = None) -> DataFrame:
     """Adds normal, lower, upper and anomaly."""
-    base, key = normals(obs, q)
+    base, key = normals(obs, q, state)
     rows = points.withColumn("day", F.date_format("x", "MM-dd")) if q.unit == "day" else points
     n = digits(q)
     normal, sd = reading(q, F.col("normal")), spread(q, F.col("normal_stddev"))
@@ -106,9 +116,9 @@ def with_normals(points: DataFrame, obs: DataFrame, q: Query) -> DataFrame:
     return made.drop("normal_stddev", "day")
 
 
-def with_records(points: DataFrame, obs: DataFrame, q: Query, today: date) -> DataFrame:
+def with_records(points: DataFrame, obs: DataFrame, q: Query, today: date, state: DataFrame | None = None) -> DataFrame:
     """Adds each calendar day's records with their years, and record_set where a day meets one."""
-    found = raw_series(obs, records_query(q, today))
+    found = by_day(obs, records_query(q, today), state)
     records = found.select("station_id", "day", reading(q, F.col("max")).alias("record_high"), F.col("max_year").alias("record_high_year"), reading(q, F.col("min")).alias("record_low"), F.col("min_year").alias("record_low_year"))
     made = points.withColumn("day", F.date_format("x", "MM-dd")).join(records, ["station_id", "day"], "left").drop("day")
     met = F.when(F.col("value") >= F.col("record_high"), "high") if q.metric == "TMAX" else F.when(F.col("value") <= F.col("record_low"), "low") if q.metric == "TMIN" else F.lit(None).cast("string")
@@ -140,7 +150,7 @@ def date_points(found: DataFrame, q: Query) -> DataFrame:
     return found.filter(F.col(which).isNotNull()).select("station_id", F.col("year").cast("double").alias("x_num"), "year", F.col(which).alias("date"), season_day(F.col(which), start).alias("value"))
 
 
-def series(obs: DataFrame, q: Query, today: date) -> DataFrame:
+def series(obs: DataFrame, q: Query, today: date, state: DataFrame | None = None) -> DataFrame:
     """The points of one series as its display, baseline, trend and output unit ask."""
     found = raw_series(obs, q)
     if q.period_aggregation in ("first_date", "last_date"):
@@ -157,9 +167,9 @@ def series(obs: DataFrame, q: Query, today: date) -> DataFrame:
     if q.display == "histogram":
         return spread_of(points)
     if q.baseline:
-        points = with_normals(points, obs, q)
+        points = with_normals(points, obs, q, state)
     if q.display == "climate":
-        points = with_records(points, obs, q, today)
+        points = with_records(points, obs, q, today, state)
     if q.display == "cumulative":
         points = running(points, q)
     return with_trend(points, "anomaly" if q.display == "anomaly" else "value") if q.trend else points

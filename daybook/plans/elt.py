@@ -85,9 +85,9 @@ def once(source: DataFrame, keys: list[str]) -> DataFrame:
     return source.withColumn("_s", F.when(F.count("*").over(Window.partitionBy(*keys)) > 1, repeated.cast("boolean")).otherwise(True)).filter("_s")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Target after the source is merged in: unmatched rows of both stay; a matched row takes the
-    source's values where ``update`` (over t_ and s_ columns; None: always) holds, but for ``keep``.
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: Column | None = None, keep: tuple[str, ...] = (), insert: bool = True) -> DataFrame:
+    """Target after the source is merged in: unmatched rows of both stay (the source's only with ``insert``); a matched row
+    takes the source's values where ``update`` (over t_ and s_ columns; None: always) holds, but for ``keep``.
 
     A key may occur once in the source; the rows' number by key shares the join's shuffle.
     """
@@ -105,7 +105,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: Column
         else:
             out.append(F.when(takes, F.col(f"s_{c}")).otherwise(F.col(f"t_{c}")).alias(c))
     new = [F.col(f"s_{c}").alias(c) for c in source.columns if c not in target.columns]
-    return t.join(s, keys, "full_outer").select(*out, *new)
+    return t.join(s, keys, "full_outer" if insert else "left").select(*out, *new)
 
 
 def keep_existing_values(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -181,8 +181,7 @@ def revise(merged: DataFrame, converted: DataFrame) -> DataFrame:
     """Archive rows take the archive's present values and flags where these differ."""
     columns = ["value", "mflag", "qflag", "sflag"]
     changed = (F.col("t_source") == "GHCN") & differs([F.col(f"t_{c}") for c in columns], [F.col(f"s_{c}") for c in columns])
-    matched = converted.select(*KEY, *columns, "ingested_at").join(merged.select(*KEY), KEY, "left_semi")
-    return upsert(merged, matched, KEY, changed)
+    return upsert(merged, converted.select(*KEY, *columns, "ingested_at"), KEY, changed, insert=False)
 
 
 def revise_wide(wide: DataFrame, merged: DataFrame) -> DataFrame:
@@ -192,7 +191,7 @@ def revise_wide(wide: DataFrame, merged: DataFrame) -> DataFrame:
     touched = merged.filter("source = 'GHCN'").join(wide.select(*at, *OBSERVED), at).filter(~F.col("value").eqNullSafe(cell)).select(*at).distinct()
     fresh = derived(pivoted(merged.join(touched, at, "left_semi")).drop("source"))
     changed = differs([F.col(f"t_{v}") for v in OBSERVED], [F.col(f"s_{v}") for v in OBSERVED])
-    return upsert(wide, fresh, at, changed)
+    return upsert(wide, fresh, at, changed, insert=False)
 
 
 def history_fill(current: DataFrame, old: DataFrame) -> DataFrame:

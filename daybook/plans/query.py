@@ -245,12 +245,13 @@ def bucketing(q: Query) -> tuple[str, int, list[int] | None]:
     return q.unit, 1, months
 
 
-def answer(obs: DataFrame, q: Query, today: date) -> DataFrame:
-    """The DataFrame that answers a query with its defaults applied, in its output unit."""
+def answer(obs: DataFrame, q: Query, today: date, state: DataFrame | None = None) -> DataFrame:
+    """The DataFrame that answers a query with its defaults applied, in its output unit. ``state``: stored sums of calendar
+    days (:mod:`operators.state`), which normals and records of daily series are taken from instead of the whole history."""
     if q.aggregation == "series":
         from . import charts
 
-        return charts.series(obs, q, today) if q.display or q.baseline or q.trend or q.output_unit else raw_series(obs, q)
+        return charts.series(obs, q, today, state) if q.display or q.baseline or q.trend or q.output_unit else raw_series(obs, q)
     found = _single(obs, q, today)
     if q.output_unit != "C" or q.metric not in v.TEMPERATURES or q.aggregation in ("count", "record_high", "record_low", *DATE_AGGREGATIONS) or q.period_aggregation == "any":
         return found

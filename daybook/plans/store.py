@@ -41,6 +41,10 @@ class Conflict(RuntimeError):
     """Another writer took the number or changed the same partitions; the write is tried again."""
 
 
+class Stale(RuntimeError):
+    """The rows to write were made from another version than the newest."""
+
+
 @dataclass(frozen=True)
 class Version:
     """What a commit says. ``parts``: a partition's folders, relative to the table; ``streams``: a stream's last batch."""
@@ -213,17 +217,20 @@ class Store:
 
         self._commit(name, change)
 
-    def upsert(self, name: str, df: DataFrame, keys: list[str], update: Column | None = None, keep: tuple[str, ...] = (), by: dict[str, str] | None = None, stream: tuple[str, int] | None = None) -> None:
+    def upsert(self, name: str, df: DataFrame, keys: list[str], update: Column | None = None, keep: tuple[str, ...] = (), by: dict[str, str] | None = None, stream: tuple[str, int] | None = None, expect: int | None = None) -> None:
         """Creates the table or merges into it (:func:`elt.upsert`); a key that the source repeats is refused.
 
         Reads and writes the partitions that the source falls into. ``stream``, a stream's name and a batch's number, is
         stored with the version; a batch that is stored already changes nothing. So does an empty source.
+        ``expect``: the version that the source was made from (0: none); :class:`Stale` if the newest one is another.
         """
         staged = f"{self.root}/{name}/staged/{uuid.uuid4().hex}"
         df.write.parquet(staged)
         try:
             source = self.spark.read.schema(df.schema).parquet(staged)
             for _ in range(ATTEMPTS):
+                if expect is not None and (v.number if (v := self.version(name)) else 0) != expect:
+                    raise Stale(f"{name} is at another version than {expect}")
                 try:
                     return self._merge(name, source, keys, update, keep, by, stream)
                 except Conflict:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
+from .operators import daily, state
 from .plans import places, requests, sql_functions, work
+from .plans import query as structured
 from .plans.store import Store
-from .queries import _LONG, _SHORT, QUERIES, SHORT, SQL, _days, _w, query, r6
+from .queries import _LONG, _SHORT, QUERIES, SHORT, SQL, TODAY, _days, _w, query, r6
 from .sources import adapters as ad
+from .sources import payloads
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -123,3 +128,49 @@ def answer_requests(s, d):
         F.lit(None).cast("array<int>").alias("months"), F.lit(">=").alias("operator"), F.when(k % 2 == 0, 70.0).otherwise(0.2).alias("threshold"), F.when(F.floor(k / 12) % 4 == 1, "total").otherwise("sum").alias("how"),
     )
     return r6(requests.answered(asked, ad.obs_short(s, d)), "value")
+
+
+# --- stored sums
+
+
+@query("climate_from_state", SQL["climate_answer"])
+def climate_from_state(s, d):
+    """A year beside normals and records that are read from stored sums: the history is summed once, then two later stretches are added."""
+    store, name = Store(s, work.work_path(s, "sums")), "calendar_days"
+    days = daily.daily_values(ad.obs_long(s, d), "TMAX", "1800-01-01", TODAY)
+    for k, (first, last) in enumerate([("1800-01-01", "2009-12-31"), ("2010-01-01", "2019-06-30"), ("2019-07-01", TODAY)]):
+        some = days.filter(F.col("obs_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+        state.advance(store, name, state.sums(some, "TMAX", *state.ALL_YEARS).unionByName(state.sums(some, "TMAX", 1981, 2010)), ("load", k))
+    asked = structured.Query("TMAX", "series", "day", display="climate", baseline=(1981, 2010), start="2019-01-01", end="2019-12-31")
+    found = structured.answer(ad.obs_long(s, d), structured.apply_defaults(asked, date.fromisoformat(TODAY)), date.fromisoformat(TODAY), store.read(name))
+    return found.select("station_id", "x", "value", "record_high", "record_high_year", "record_set")
+
+
+# --- landed answers
+
+_STEP = "day(obs_date) % 9"
+_VALUES = "coalesce(TMAX::INT::VARCHAR, 'M') AS maxt, coalesce(TMIN::INT::VARCHAR, 'M') AS mint, CASE WHEN PRCP > 0 THEN 'T' ELSE 'M' END AS pcpn"
+
+
+def _landed(s, d):
+    """Observations written as answers, a line each, some of them broken in ways that depend on the day, and read again."""
+    text = lambda c: F.coalesce(F.col(c).cast("int").cast("string"), F.lit("M"))
+    row = F.array(F.col("obs_date").cast("string"), text("TMAX"), text("TMIN"), F.when(F.col("PRCP") > 0, "T").otherwise("M"), F.lit("M"), F.lit("M"))
+    step = F.day("obs_date") % 9
+    none = F.lit(None).cast("string")
+    data = F.when(step == 3, F.array().cast("array<array<string>>")).when(step == 4, F.array(F.slice(row, 1, 3))).otherwise(F.array(row))
+    line = F.to_json(F.struct(F.when(step == 5, none).otherwise(F.col("station_id")).alias("station_id"), data.alias("data")))
+    path = work.work_path(s, "answers")
+    ad.obs_short(s, d).select(F.when(step == 6, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    return payloads.landed(s, path)
+
+
+@query("acis_landed", _w(_SHORT) + f"""SELECT station_id, obs_date, variable, value FROM (SELECT station_id, obs_date, unnest(['maxt', 'mint', 'pcpn', 'snow', 'snwd']) AS variable, unnest([maxt, mint, pcpn, 'M', 'M']) AS value, maxt = 'M' AND mint = 'M' AND pcpn = 'M' AS none
+  FROM (SELECT station_id, obs_date, {_VALUES} FROM obs_short WHERE {_STEP} NOT IN (3, 4, 5, 6))) WHERE NOT none""")
+def acis_landed(s, d):
+    return payloads.observations(_landed(s, d))
+
+
+@query("acis_rejects", _w(_SHORT) + f"SELECT CASE {_STEP} WHEN 3 THEN 'no data' WHEN 4 THEN 'short row' WHEN 5 THEN 'no station' ELSE 'not JSON' END AS reason, count(*) AS n FROM obs_short WHERE {_STEP} IN (3, 4, 5, 6) GROUP BY 1")
+def acis_rejects(s, d):
+    return payloads.rejects(_landed(s, d)).groupBy("reason").agg(F.count("*").alias("n"))
