@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import decimals, rounded
 from ..plans.store import Store
+from ..plans.work import discard, kept
 
 KEY = ["station_id", "metric", "span", "day"]
 BY = {"p_month": "substring(day, 1, 2)"}
@@ -62,9 +63,11 @@ def advance(store: Store, name: str, new: DataFrame, batch: tuple[str, int] | No
     if before is None:
         store.upsert(name, new, KEY, by=BY, stream=batch, expect=0)
         return
+    new = kept(new, "new-sums")  # used three times
     months = {r.m for r in new.select(F.substring("day", 1, 2).alias("m")).distinct().collect()}  # twelve at most
     old = store.where(name, lambda p: p["p_month"] in months).join(new.select(*KEY), KEY, "left_semi")
     store.upsert(name, merged(old, new), KEY, stream=batch, expect=before.number)
+    discard(new)
 
 
 def redone(history: DataFrame, changed: DataFrame, metric: str, first: int, last: int) -> DataFrame:

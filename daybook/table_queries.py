@@ -135,10 +135,10 @@ def answer_requests(s, d):
 
 @query("climate_from_state", SQL["climate_answer"])
 def climate_from_state(s, d):
-    """A year beside normals and records that are read from stored sums: the history is summed once, then two later stretches are added."""
+    """A year beside normals and records that are read from stored sums: the history is summed once, then later days are added."""
     store, name = Store(s, work.work_path(s, "sums")), "calendar_days"
     days = daily.daily_values(ad.obs_long(s, d), "TMAX", "1800-01-01", TODAY)
-    for k, (first, last) in enumerate([("1800-01-01", "2009-12-31"), ("2010-01-01", "2019-06-30"), ("2019-07-01", TODAY)]):
+    for k, (first, last) in enumerate([("1800-01-01", "2019-06-30"), ("2019-07-01", TODAY)]):
         some = days.filter(F.col("obs_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
         state.advance(store, name, state.sums(some, "TMAX", *state.ALL_YEARS).unionByName(state.sums(some, "TMAX", 1981, 2010)), ("load", k))
     asked = structured.Query("TMAX", "series", "day", display="climate", baseline=(1981, 2010), start="2019-01-01", end="2019-12-31")
