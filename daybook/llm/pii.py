@@ -53,10 +53,13 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-AT = re.compile(r"[(\[{]at[)\]}]")
+AT = re.compile(r"[(\[{<]\x20?at\x20?[)\]}>]|\x20at\x20", re.I)
 BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?\Z")
-AFTER_AT = re.compile(r"\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[{]dot[)\]}]|\.)\x20?[A-Za-z0-9-]{1,63}){1,8}")
-LOCAL_PHONE = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
+AFTER_AT = re.compile(r"\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[{<]\x20?dot\x20?[)\]}>]|\.|\x20dot\b)\x20?[A-Za-z0-9-]{1,63}){1,8}", re.I)
+DOT = re.compile(r"[(\[{<]\x20?dot\x20?[)\]}>]|\x20dot\x20", re.I)
+#: Groups as North America writes them; a leading zero with one long group, or two groups of six and more; a zero and pairs.
+LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}|\(?0[0-9]{1,5}\)?(?:[ /-]{1,3}[0-9]{5,9}|[ /-][0-9]{3,4}[ -][0-9]{2,5})|0[0-9](?:([ .-])[0-9]{2})(?:\1[0-9]{2}){3})(?![\w-])")
+ZERO_PHONE = re.compile(r"\(?0[0-9]{1,5}\)?(?:[ /-]{1,3}[0-9]{5,9}|[ /-][0-9]{3,4}[ -][0-9]{2,5})|0[0-9](?:([ .-])[0-9]{2})(?:\1[0-9]{2}){3}")
 PLAIN_PHONE = re.compile(r"\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}")
 IDENTITY = re.compile(r"(?<![\w-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![\w-])")
 TAIL = re.compile(r"\x20[A-Z0-9]{1,3}\Z|\x20[A-Z]{4}\Z")
@@ -137,11 +140,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def extra_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates beyond the base rules, sorted, without repeats."""
     out = set()
-    if "at)" in text or "at]" in text or "at}" in text:
+    if "at" in text or "AT" in text or "At" in text:
         for m in AT.finditer(text):
+            word = m[0][1:3].lower() == "at" and m[0][0] == " "
             left = BEFORE_AT.search(text[max(0, m.start() - 65) : m.start()])
-            right = AFTER_AT.match(text, m.end())
-            if left and right:
+            right = AFTER_AT.match(text, m.end() - word)
+            if left and right and (not word or DOT.search(right[0])):  # a plain "at" needs a "dot" to mean an address
                 out.add((m.start() - len(left[0]), 0, right.end()))
     if DIGIT.search(text):
         for m in CARD.finditer(text):
@@ -173,8 +177,8 @@ def votes(text: str, start: int, kind: int, end: int, near: bool, is_base: bool,
     if kind == 2 or kind == 4 and "-" not in s:
         check = 1 if (kind == 2 and luhn(digits)) or (kind == 4 and iban(s)) else -1
     if kind == 0:
-        shape = 1 if is_base or " " not in s or re.search(r"[(\[{]dot", s) else 0
-        top = re.split(r"[.)\]}\s]+", s)[-1].lower()
+        shape = 1 if is_base or " " not in s or DOT.search(s) or re.search(r"[(\[{<]\x20?at", s, re.I) else 0
+        top = re.split(r"[.)\]}>\s]+", s)[-1].lower()
         gazetteer = 1 if top in GENERIC or len(top) == 2 and top.isalpha() else -1  # two letters: a country's
     elif kind == 5:
         first, *rest = s.lower().split()
@@ -183,7 +187,7 @@ def votes(text: str, start: int, kind: int, end: int, near: bool, is_base: bool,
     elif kind == 2:
         gazetteer = 1 if digits[0] in "3456" else -1  # issuers of payment cards
     elif kind == 3:
-        shape = 1 if is_base or PLAIN_PHONE.fullmatch(s) else 0
+        shape = 1 if is_base or PLAIN_PHONE.fullmatch(s) or ZERO_PHONE.fullmatch(s) else 0
         gazetteer = -1 if len(set(digits)) <= 2 else 0
     else:
         gazetteer = 0

@@ -209,6 +209,37 @@ def test_planted_personal_data_is_found(spark, tmp_path):
     assert extra <= 0.05 * sum(found.values())
 
 
+def foreign_personal_data(n, seed):
+    """As :func:`planted_personal_data`, with layouts and words of their own: capitals, spelled signs, other countries' numbers."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    made = {
+        "at": lambda: ("email", f"{word()}.{word()} [at] {word()}.org"), "capitals": lambda: ("email", f"{word()}[AT]{word()}[DOT]net"), "spelled": lambda: ("email", f"{word()} at {word()} dot com"), "angles": lambda: ("email", f"{word()} <at> {word()} <dot> it"),
+        "german": lambda: ("phone", f"0{digits(2)} {digits(7)}"), "slash": lambda: ("phone", f"0{digits(4)}/{digits(6)}"), "french": lambda: ("phone", "0" + rng.choice("123456789") + "".join(f" {digits(2)}" for _ in range(4))), "british": lambda: ("phone", f"01{digits(3)} {digits(6)}"),
+    }
+    out = []
+    for k in range(n):
+        layout = list(made)[k % len(made)]
+        kind, value = made[layout]()
+        text = prose(12) + {"email": " please write to ", "phone": " my tel is "}[kind]
+        out.append((text + value + ", " + prose(12), layout, kind, len(text), len(text) + len(value)))
+    return out
+
+
+def test_layouts_of_other_kinds_and_countries_are_found(spark, tmp_path):
+    docs = foreign_personal_data(1500, 11)
+    plain = [t for t, _ in planted_personal_data(1500, 4)]
+    rows = [(k, d[0], "en", "a", 1) for k, d in enumerate(docs)] + [(10_000 + k, t, "en", "a", 1) for k, t in enumerate(plain)]
+    got = {r.doc_id: {(kind, int(s), int(e)) for kind, s, e in (x.split(":") for x in r.spans.split(",") if x)} for r in pii.op2(spark, put(table(spark, rows), tmp_path)).collect()}
+    share = {}
+    for k, (_, layout, kind, s, e) in enumerate(docs):
+        share.setdefault(layout, []).append((kind, s, e) in got[k])
+    low = {layout: sum(x) / len(x) for layout, x in share.items() if sum(x) < 0.9 * len(x)}
+    assert not low
+
+
 # --- 3
 
 
