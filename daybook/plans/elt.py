@@ -221,11 +221,14 @@ def retained(chat: DataFrame, now: str, days: int = 14) -> DataFrame:
     return chat.filter(F.col("created_at") >= F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
-def nightly(ghcn: DataFrame, acis: DataFrame, allowed: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
-    """(converted archive, merged rows), each computed once: ``keep`` writes a table and gives it back as read.
+def nightly(ghcn: DataFrame, acis: DataFrame, allowed: DataFrame, keep, keep_merged: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(converted archive, merged rows): ``keep`` writes a table and gives it back as read.
 
-    What follows (pivot, QC, revisions) starts from these two instead of planning the raw chain
-    anew for each use and each cutoff.
+    One of the two is written: the merged rows, if what follows uses them more than once (pivot and QC), else the
+    converted archive, which the cutoff and the revisions start from.
     """
-    clean = keep(convert(blank_flagged(ghcn, allowed)))
-    return clean, keep(by_precedence(union_sources(clean, map_codes(acis)), cutoff(clean)))
+    clean = convert(blank_flagged(ghcn, allowed))
+    if not keep_merged:
+        clean = keep(clean)
+    rows = by_precedence(union_sources(clean, map_codes(acis)), cutoff(clean))
+    return clean, keep(rows) if keep_merged else rows

@@ -621,7 +621,7 @@ _NOQC = _CONV.replace("CASE WHEN g.qflag IS NOT NULL AND a.station_id IS NULL TH
 
 
 def _unchecked(s, d):
-    clean = work.kept(elt.convert(ad.raw_ghcn(s, d)))
+    clean = elt.convert(ad.raw_ghcn(s, d))
     return elt.by_precedence(elt.union_sources(clean, map_acis(s, d)), elt.cutoff(clean))
 
 
@@ -642,7 +642,7 @@ def qc_to_wide(s, d):
 @query("revision_sync", _w(_RAW, _CONV) + "SELECT m.* REPLACE (CASE WHEN m.source = 'GHCN' AND day(m.obs_date) % 3 = 0 AND c.value IS NOT NULL THEN c.value + 1 ELSE m.value END AS value) FROM merged m LEFT JOIN ghcn_conv c USING (station_id, obs_date, variable)")
 def revision_sync(s, d):
     changed = F.when((F.day("obs_date") % 3 == 0) & F.col("value").isNotNull(), F.col("value") + 1).otherwise(F.col("value"))
-    clean, merged = elt.nightly(ad.raw_ghcn(s, d), ad.raw_acis(s, d), ad.allowlist(s, d), work.kept)
+    clean, merged = elt.nightly(ad.raw_ghcn(s, d), ad.raw_acis(s, d), ad.allowlist(s, d), work.kept, keep_merged=False)
     return elt.revise(merged, clean.withColumn("value", changed))
 
 
