@@ -177,11 +177,17 @@ def qc_to_wide(wide: DataFrame, merged: DataFrame) -> DataFrame:
     return derived(joined.withColumns(cells).select(*wide.columns))
 
 
+REVISED = ("value", "mflag", "qflag", "sflag")
+
+
+def revised() -> Column:
+    """Over t_ and s_ columns: an archive row whose value or flags differ from the archive's present ones."""
+    return (F.col("t_source") == "GHCN") & differs([F.col(f"t_{c}") for c in REVISED], [F.col(f"s_{c}") for c in REVISED])
+
+
 def revise(merged: DataFrame, converted: DataFrame) -> DataFrame:
     """Archive rows take the archive's present values and flags where these differ."""
-    columns = ["value", "mflag", "qflag", "sflag"]
-    changed = (F.col("t_source") == "GHCN") & differs([F.col(f"t_{c}") for c in columns], [F.col(f"s_{c}") for c in columns])
-    return upsert(merged, converted.select(*KEY, *columns, "ingested_at"), KEY, changed, insert=False)
+    return upsert(merged, converted.select(*KEY, *REVISED, "ingested_at"), KEY, revised(), insert=False)
 
 
 def revise_wide(wide: DataFrame, merged: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .elt import upsert
+from .elt import KEY, REVISED, revised, upsert
 
 ATTEMPTS = 50
 ORPHAN_HOURS = 24.0
@@ -217,7 +217,7 @@ class Store:
 
         self._commit(name, change)
 
-    def upsert(self, name: str, df: DataFrame, keys: list[str], update: Column | None = None, keep: tuple[str, ...] = (), by: dict[str, str] | None = None, stream: tuple[str, int] | None = None, expect: int | None = None) -> None:
+    def upsert(self, name: str, df: DataFrame, keys: list[str], update: Column | None = None, keep: tuple[str, ...] = (), by: dict[str, str] | None = None, stream: tuple[str, int] | None = None, expect: int | None = None, insert: bool = True) -> None:
         """Creates the table or merges into it (:func:`elt.upsert`); a key that the source repeats is refused.
 
         Reads and writes the partitions that the source falls into. ``stream``, a stream's name and a batch's number, is
@@ -232,7 +232,7 @@ class Store:
                 if expect is not None and (v.number if (v := self.version(name)) else 0) != expect:
                     raise Stale(f"{name} is at another version than {expect}")
                 try:
-                    return self._merge(name, source, keys, update, keep, by, stream)
+                    return self._merge(name, source, keys, update, keep, by, stream, insert)
                 except Conflict:
                     time.sleep(0.05)
             raise Conflict(f"{name}: other writers were always first")
@@ -240,7 +240,7 @@ class Store:
             at = self._path(name, "staged", staged.rsplit("/", 1)[1])
             self._files(name).delete(at, True)
 
-    def _merge(self, name, source, keys, update, keep, by, stream) -> None:
+    def _merge(self, name, source, keys, update, keep, by, stream, insert) -> None:
         before = self.version(name)
         if before and stream and before.streams.get(stream[0], -1) >= stream[1]:
             return
@@ -254,7 +254,11 @@ class Store:
             return self._first(name, source, keys, by or {}, stream)
         by = before.by
         touched = self._partitions(source, keys, by)
-        parts = self._write(name, upsert(self._rows(name, before, touched), source, keys, update, keep), by)
+        if not insert:
+            touched = [p for p in touched if p in before.parts]
+            if not touched:
+                return
+        parts = self._write(name, upsert(self._rows(name, before, touched), source, keys, update, keep, insert), by)
         schema = upsert(self._rows(name, before, []), source.limit(0), keys, update, keep).schema.json()
 
         def change(v: Version | None) -> Version | None:
@@ -337,3 +341,11 @@ def _escaped(value: str | None) -> str:
     if value is None or value == "":
         return "__HIVE_DEFAULT_PARTITION__"
     return "".join(c if c > "\x1f" and c not in "\"#%'*/:=?\\\x7f{[]^" else f"%{ord(c):02X}" for c in value)
+
+
+def revise_stored(store: Store, name: str, converted: DataFrame) -> None:
+    """Stored archive rows take the archive's present values and flags where these differ: of ``converted`` only rows that were
+    ingested after the stored archive rows' newest are looked at, and only their partitions are read and written."""
+    since = store.read(name).filter("source = 'GHCN'").agg(F.max("ingested_at")).first()[0]
+    news = converted if since is None else converted.filter(F.col("ingested_at") > F.lit(since))
+    store.upsert(name, news.select(*KEY, *REVISED, "ingested_at"), KEY, revised(), insert=False)

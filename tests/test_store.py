@@ -1,7 +1,7 @@
 """Stored tables: commits, failures at each step, writers at the same time, pruned upserts."""
 
 import threading
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +158,20 @@ def test_new_columns_and_whole_table_versions(spark, store):
     assert store.exists("empty") and store.read("empty").count() == 0 and store.read("empty").columns == ["k", "d", "v"]
 
 
+def test_revisions_touch_the_partitions_of_newer_rows(spark, store):
+    schema = "station_id string, obs_date date, variable string, value double, mflag string, qflag string, sflag string, ingested_at timestamp, source string"
+    row = lambda y, value, hour, source="GHCN": ("A", date(y, 1, 1), "TMAX", value, None, None, None, datetime(2024, 1, 1, hour), source)
+    store.overwrite("m", spark.createDataFrame([row(2000, 1.0, 1), row(2001, 2.0, 1), row(2002, 3.0, 1, "ACIS"), row(2003, 4.0, 5)], schema), {"p_year": "year(obs_date)"})
+    before = store.version("m")
+    news = spark.createDataFrame([row(2000, 9.0, 2), row(2001, 8.0, 7), row(2002, 7.0, 7), row(2003, 4.0, 7), row(2009, 1.0, 7)], schema).drop("source")
+    stores.revise_stored(store, "m", news)
+    after = store.version("m")
+    assert {r.obs_date.year: r.value for r in store.read("m").collect()} == {2000: 1.0, 2001: 8.0, 2002: 3.0, 2003: 4.0}
+    assert before.parts["p_year=2000"] == after.parts["p_year=2000"] and before.parts["p_year=2001"] != after.parts["p_year=2001"] and len(after.parts) == 4
+    stores.revise_stored(store, "m", news.filter("year(obs_date) = 2009").withColumn("ingested_at", F.lit(datetime(2025, 1, 1))))
+    assert store.version("m") == after
+
+
 def test_compaction_and_purge(spark, store, tmp_path):
     for k in range(12):
         store.append("t", rows(spark, (f"k{k}", "2020-01-01", 1.0)), BY)
