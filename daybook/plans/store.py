@@ -82,6 +82,10 @@ class Store:
     def _numbers(self, name: str) -> list[int]:
         return sorted(int(m[1]) for f in self._listed(name, "commits") if (m := re.fullmatch(r"(\d{12})\.json", f.getPath().getName())))
 
+    def _links(self, files) -> bool:
+        """Whether the files are this machine's own."""
+        return files.getUri().getScheme() == "file"
+
     def _create(self, name: str, number: int, text: str) -> None:
         """Creates a commit, whole; :class:`Conflict` if its number is taken."""
         files, final = self._files(name), self._path(name, "commits", f"{number:012d}.json")
@@ -93,11 +97,12 @@ class Store:
             out.close()
         files.mkdirs(final.getParent())
         try:
-            if files.getUri().getScheme() == "file":
+            if self._links(files):
                 os.link(_local(draft), _local(final))
             else:
-                context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
-                context.rename(draft, final, self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+                jvm = self.spark._jvm
+                none = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, none)
         except FileExistsError as e:
             raise Conflict(str(final)) from e
         except Exception as e:  # the gateway's own kind of error, which names the Java class

@@ -86,7 +86,9 @@ def test_a_failure_after_the_number_is_taken_is_a_commit(spark, store, monkeypat
     assert held(store) == [("a", D("2020-01-01"), 5.0)]
 
 
-def test_a_number_is_taken_once(spark, store):
+@pytest.mark.parametrize("links", [True, False])
+def test_a_number_is_taken_once(spark, store, monkeypatch, links):
+    monkeypatch.setattr(Store, "_links", lambda *_: links)
     store.overwrite("t", rows(spark, ("a", "2020-01-01", 1.0)))
     with pytest.raises(Conflict):
         store._create("t", 1, "{}")
