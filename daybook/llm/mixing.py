@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by a Pfair schedule, in DataFrame functions alone.
+"""Mixing sources to target weights by a Pfair schedule, in DataFrame functions alone up to ``FOLDED`` sources.
 
 A source's documents are numbered and cut into blocks of ``BLOCK_DOCS``. Among the
 active sources, a source of target weight w (integer weights over their sum K) must
