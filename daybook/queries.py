@@ -483,11 +483,16 @@ def climograph(s, d):
 @query("raw_parse_dly", _w(_SHORT) + "SELECT station_id, obs_date, 'TMAX' AS variable, CASE WHEN TMAX IS NOT NULL THEN TMAX * 10 END::DOUBLE AS value, NULL::VARCHAR AS mflag, CASE WHEN day(obs_date) % 10 = 0 THEN 'X' END AS qflag, 'S' AS sflag FROM obs_short")
 def raw_parse_dly(s, d):
     """Observations written as month lines and parsed back."""
+    return parse.daily_lines(month_lines(s, d).select("value")).withColumn("station_id", F.trim("station_id"))
+
+
+def month_lines(s, d):
+    """(station_id, y, m, value): the daily archive's lines of one variable."""
     cell = F.format_string("%5d %s%s", F.coalesce(F.col("TMAX") * 10, F.lit(-9999.0)).cast("int"), F.when(F.day("obs_date") % 10 == 0, "X").otherwise(" "), F.lit("S"))
     months = ad.obs_short(s, d).groupBy("station_id", F.year("obs_date").alias("y"), F.month("obs_date").alias("m")).agg(F.map_from_entries(F.collect_list(F.struct(F.day("obs_date"), cell))).alias("cells"))
     blocks = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(31)), lambda k: F.coalesce(F.try_element_at("cells", k), F.lit("    -   "))))
     line = F.concat(F.rpad("station_id", 11, " "), F.format_string("%04d%02d", "y", "m"), F.lit("TMAX"), blocks)
-    return parse.daily_lines(months.select(line.alias("value"))).withColumn("station_id", F.trim("station_id"))
+    return months.select("station_id", "y", "m", line.alias("value"))
 
 
 @query("raw_parse_acis", _w(_SHORT) + """SELECT station_id, obs_date, variable, value FROM (SELECT station_id, obs_date, unnest(['maxt', 'mint', 'pcpn', 'snow', 'snwd']) AS variable,

@@ -3,7 +3,7 @@
 Both are data sources of Python: a partition is a file (or an archive's member), read by an executor in pieces; the
 driver lists names and sizes alone. Files are found through Arrow's file systems (local folders, HDFS, S3, GCS).
 
-    spark.dataSource.register(TailLines)
+    files.register(spark)
     spark.read.format("tail_lines").option("tail_bytes", 4096).load("/landing/daily")
     spark.read.format("zip_lines").option("member", "cities.txt").load("/landing/places.zip")
 """
@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import sys
 import time
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ATTEMPTS = 4
@@ -163,5 +165,7 @@ class ZipReader(DataSourceReader):
 
 
 def register(spark) -> None:
+    """Makes both formats known to the session. Executors get this module's code with them: they need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     for source in (TailLines, ZipLines):
         spark.dataSource.register(source)

@@ -10,9 +10,9 @@ from .operators import daily, state
 from .plans import places, requests, sql_functions, work
 from .plans import query as structured
 from .plans.store import Store
-from .queries import _LONG, _SHORT, QUERIES, SHORT, SQL, TODAY, _days, _w, query, r6
+from .queries import _LONG, _SHORT, QUERIES, SHORT, SQL, TODAY, _days, _w, month_lines, query, r6
 from .sources import adapters as ad
-from .sources import payloads
+from .sources import files, parse, payloads
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -174,3 +174,20 @@ def acis_landed(s, d):
 @query("acis_rejects", _w(_SHORT) + f"SELECT CASE {_STEP} WHEN 3 THEN 'no data' WHEN 4 THEN 'short row' WHEN 5 THEN 'no station' ELSE 'not JSON' END AS reason, count(*) AS n FROM obs_short WHERE {_STEP} IN (3, 4, 5, 6) GROUP BY 1")
 def acis_rejects(s, d):
     return payloads.rejects(_landed(s, d)).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# --- ends of landed files
+
+LINE_BYTES = 21 + 31 * 8 + 1
+_TAIL = "mm AS (SELECT *, dense_rank() OVER (PARTITION BY station_id ORDER BY year(obs_date) * 12 + month(obs_date) DESC) AS back FROM obs_short)"
+
+
+@query("tail_parse_dly", _w(_SHORT, _TAIL) + "SELECT station_id, obs_date, 'TMAX' AS variable, CASE WHEN TMAX IS NOT NULL THEN TMAX * 10 END::DOUBLE AS value, CASE WHEN day(obs_date) % 10 = 0 THEN 'X' END AS qflag FROM mm WHERE back <= 24")
+def tail_parse_dly(s, d):
+    """A landed file a station; the last 24 months of each, from the files' last bytes."""
+    path = work.work_path(s, "archive")
+    lines = month_lines(s, d).withColumn("st", F.col("station_id"))
+    lines.repartition("st").sortWithinPartitions("st", "y", "m").select("st", "value").write.partitionBy("st").text(path)
+    files.register(s)
+    tail = s.read.format("tail_lines").option("tail_bytes", 24 * LINE_BYTES).load(path)
+    return parse.daily_lines(tail).withColumn("station_id", F.trim("station_id")).drop("mflag", "sflag")
