@@ -33,6 +33,7 @@ those whose names clash with this module's.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -47,6 +48,8 @@ SLOTS = 360
 BUCKETS = 4096
 SLOTS_A_SOURCE = 16
 FOLDED = 64
+#: Rows of a long schedule that the driver holds unpacked.
+PACKED = 50_000
 
 #: One row (names, k, m: arrays by source; weights and blocks) to one row a phase.
 #: p.kk: weights of the phase's active sources, else 0; p.period: their sum;
@@ -97,35 +100,56 @@ def numbered(docs: DataFrame, id_col: str, source_col: str, names: dict[str, str
 
 def phases_of(k: list[int], m: list[int]) -> Iterator[tuple[int, int, int, list[int], list[int], list[int], list[list[int]]]]:
     """What ``PLAN`` gives for weights ``k`` and blocks ``m``, a phase at a time: its number, start and period, and by
-    active source: the source, blocks before, blocks in it, and its slots of a period as far as they are used."""
+    source that runs in it: the source, blocks before, blocks in it, and its slots of a period as far as they are used.
+
+    A phase of whole periods costs its sources and slots. One that ends within its first period costs its slots and one step a
+    distinct weight: sources of one weight wait in a list, and only the first of them stands in the heap. So
+    the cost is that of the blocks, also where very many sources end one by one.
+    """
     rem, start, phase = list(m), 0, 0
-    active = [i for i, x in enumerate(rem) if x > 0]
-    while active:
-        period = sum(k[i] for i in active)
-        rounds = min(rem[i] // k[i] for i in active)
-        rest = {i: rem[i] - rounds * k[i] for i in active}
-        slots: dict[int, list[int]] = {i: [] for i in active}
-        due = [(-(-period // k[i]), i) for i in active]
+    waiting: dict[int, list[int]] = {}
+    for i, x in enumerate(rem):
+        if x > 0:
+            waiting.setdefault(k[i], []).append(i)
+    period = sum(w * len(some) for w, some in waiting.items())
+    short = {i for i, x in enumerate(rem) if 0 < x < k[i]}
+    while period:
+        rounds = 0 if short else min(rem[i] // w for w, some in waiting.items() for i in some)
+        rest = {i: rem[i] - rounds * w for w, some in waiting.items() for i in some} if rounds else rem
+        slots: dict[int, list[int]] = {i: [] for some in waiting.values() for i in some} if rounds else {}
+        due = [(-(-period // w), some[0], w, 0) for w, some in waiting.items()]
         heapq.heapify(due)
         later: list[tuple[int, int]] = []
-        cut = None
+        cut = period
         for t in range(period):
             while later and later[0][0] <= t:
                 _, i = heapq.heappop(later)
-                heapq.heappush(due, (-(-(len(slots[i]) + 1) * period // k[i]), i))
-            i = heapq.heappop(due)[1]
-            if cut is None and len(slots[i]) == rest[i]:
+                heapq.heappush(due, (-(-(len(slots[i]) + 1) * period // k[i]), i, 0, 0))
+            deadline, i, w, at = heapq.heappop(due)
+            if w and at + 1 < len(waiting[w]):
+                heapq.heappush(due, (deadline, waiting[w][at + 1], w, at + 1))
+            own = slots.setdefault(i, [])
+            if cut == period and len(own) == rest[i]:
                 cut = t
                 if not rounds:
                     break
-            slots[i].append(t)
-            heapq.heappush(later, (len(slots[i]) * period // k[i], i))
-        used = [rounds * k[i] + (sum(t < cut for t in slots[i]) if rounds else len(slots[i])) for i in active]
-        yield phase, start, period, active, [m[i] - rem[i] for i in active], used, [slots[i] for i in active]
-        for i, x in zip(active, used, strict=True):
-            rem[i] -= x
+            own.append(t)
+            heapq.heappush(later, (len(own) * period // k[i], i))
+        ran = sorted(i for i, own in slots.items() if own)
+        used = [rounds * k[i] + (sum(t < cut for t in slots[i]) if rounds else len(slots[i])) for i in ran]
+        yield phase, start, period, ran, [m[i] - rem[i] for i in ran], used, [slots[i] for i in ran]
         start, phase = start + rounds * period + cut, phase + 1
-        active = [i for i in active if rem[i] > 0]
+        for i, x in zip(ran, used, strict=True):
+            rem[i] -= x
+            if rem[i] < k[i]:
+                short.add(i)
+            if not rem[i]:
+                short.discard(i)
+                period -= k[i]
+                some = waiting[k[i]]
+                del some[bisect.bisect_left(some, i)]
+                if not some:
+                    del waiting[k[i]]
 
 
 def weighted(sizes: DataFrame, weights: dict[str | None, int] | None, block_docs: int, slots: int) -> DataFrame:
@@ -145,14 +169,24 @@ def long_schedule(sizes: DataFrame, weights: dict[str | None, int] | None = None
     """The rows of :func:`schedule` for any number of sources, made by the driver."""
     rows = weighted(sizes, weights, block_docs, slots).orderBy(F.col("source").asc_nulls_first()).select("source", "k", "m").toArrow()
     names, k, m = rows.column(0), rows.column(1).to_pylist(), rows.column(2).to_pylist()
+    types = {"phase": pa.int32(), "slots": pa.list_(pa.int32())}
+    columns: dict[str, list] = {c: [] for c in ("of", "phase", "start", "period", "weight", "base", "used", "slots")}
     parts = []
-    for phase, start, period, active, base, used, own in phases_of(k, m):
-        some = [x for x, n in enumerate(used) if n > 0]
-        of = [active[x] for x in some]
-        columns = {"source": names.take(pa.array(of, pa.int64())), "phase": pa.array([phase] * len(of), pa.int32()), "start": pa.array([start] * len(of), pa.int64()), "period": pa.array([period] * len(of), pa.int64()),
-                   "weight": pa.array([k[i] for i in of], pa.int64()), "base": pa.array([base[x] for x in some], pa.int64()), "used": pa.array([used[x] for x in some], pa.int64()),
-                   "slots": pa.array([own[x] for x in some], pa.list_(pa.int32()))}
-        parts.append(pa.table(columns))
+
+    def pack() -> None:
+        made = {c: pa.array(x, types.get(c, pa.int64())) for c, x in columns.items()}
+        parts.append(pa.table({"source": names.take(made.pop("of")), **made}))
+        for x in columns.values():
+            x.clear()
+
+    for phase, start, period, ran, base, used, own in phases_of(k, m):
+        for row in zip(ran, base, used, own, strict=True):
+            i, before, n, slots_ = row
+            for c, x in zip(columns, (i, phase, start, period, k[i], before, n, slots_), strict=True):
+                columns[c].append(x)
+        if len(columns["of"]) >= PACKED:
+            pack()
+    pack()
     return sizes.sparkSession.createDataFrame(pa.concat_tables(parts))
 
 

@@ -555,6 +555,44 @@ def test_long_schedules_are_the_folded_ones(spark, monkeypatch):
     assert sorted(map(tuple, mixing.positions(docs).collect()), key=repr) == want
 
 
+def phases_plain(k, m):
+    """Slot by slot, as stated: of the released blocks the one due first runs; a source without one left ends the phase."""
+    rem, start, out = list(m), 0, []
+    while any(rem):
+        active = [i for i, x in enumerate(rem) if x]
+        period, done, order = sum(k[i] for i in active), dict.fromkeys(active, 0), []
+        while True:
+            t = len(order)
+            i = min((i for i in active if done[i] * period < (t + 1) * k[i]), key=lambda i: (-(-(done[i] + 1) * period // k[i]), i))  # noqa: B023
+            if done[i] == rem[i]:
+                break
+            done[i] += 1
+            order.append(i)
+        out.append((start, period, {i: (m[i] - rem[i], done[i]) for i in active if done[i]}))
+        start += len(order)
+        rem = [x - done.get(i, 0) for i, x in enumerate(rem)]
+    return out
+
+
+def test_phases_are_the_plain_ones():
+    rng = random.Random(1)
+    for _ in range(1500):
+        n = rng.randint(1, 9)
+        k, m = [rng.randint(1, rng.choice([1, 3, 9])) for _ in range(n)], [rng.choice([0, 1, 2, 5, 30]) for _ in range(n)]
+        got = [(start, period, {i: (b, u) for i, b, u in zip(ran, base, used, strict=True) if u}) for _, start, period, ran, base, used, _ in mixing.phases_of(k, m)]
+        assert got == phases_plain(k, m)
+
+
+def test_sources_that_end_one_by_one_cost_their_blocks():
+    m = list(range(1, 1201))
+    k = [max(1, int(x**0.5) // 4) for x in m]
+    rows = total = 0
+    for _, _, _, ran, _, used, slots in mixing.phases_of(k, m):
+        rows, total = rows + len(ran), total + sum(used)
+        assert len(ran) == len(slots)
+    assert total == sum(m) and rows <= sum(m)
+
+
 def test_many_sources_are_mixed_in_proportion(spark):
     ready(spark)
     rows = [(k, "t", "en", "hot" if k % 3 == 0 else f"s{k % 2999}", 1) for k in range(30_000)]
