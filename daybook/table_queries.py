@@ -10,7 +10,7 @@ from .operators import daily, state
 from .plans import places, requests, sql_functions, work
 from .plans import query as structured
 from .plans.store import Store
-from .queries import _LONG, _SHORT, QUERIES, SHORT, SQL, TODAY, _days, _w, month_lines, query, r6
+from .queries import _LONG, _MILES, _SHORT, _STATIONS, QUERIES, SHORT, SQL, TODAY, _days, _w, month_lines, query, r6
 from .sources import adapters as ad
 from .sources import files, parse, payloads
 
@@ -66,6 +66,32 @@ def resolve_places(s, d):
     return places.resolve_places(texts, towns(s, d)).select("c_custkey", "text", "geonameid", "reading", "exact")
 
 
+_STATION_TEXTS = f"""
+asked AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'Nation_' || c_nationkey WHEN 3 THEN CASE WHEN c_custkey % 8 = 3 THEN 'N/A' ELSE 'k' || lpad(c_nationkey::VARCHAR, 3, '0') END ELSE 'Supplier#' || lpad((1 + c_custkey % 130)::VARCHAR, 9, '0') END AS text FROM customer),
+known AS (SELECT text, (SELECT min(ghcn_id) FROM stations WHERE lower(regexp_replace(city, '[^a-zA-Z0-9 ]', '', 'g')) = lower(regexp_replace(text, '[^a-zA-Z0-9 ]', '', 'g')) OR lower(icao) = lower(text)) AS ghcn_id FROM asked WHERE text <> 'N/A'),
+pr AS (SELECT p.geonameid, s.ghcn_id, {_MILES.format(a="p.latitude", b="s.latitude", c="p.longitude", d="s.longitude")} AS dist FROM places p, stations s WHERE selected AND wmo IS NOT NULL),
+nr AS (SELECT geonameid, ghcn_id, round(dist)::BIGINT AS miles, row_number() OVER (PARTITION BY geonameid ORDER BY round(dist), ghcn_id) AS n FROM pr WHERE dist <= 150 QUALIFY n <= 3),
+ag AS (SELECT geonameid, count(*) FILTER (miles <= 10) AS close, min(n) FILTER (miles <= 10) AS only_n, min(miles) FILTER (n = 1) AS first_miles, string_agg(ghcn_id, ',' ORDER BY n) FILTER (n = 1 OR miles <= 50) AS offers FROM nr GROUP BY 1),
+ch AS (SELECT p.geonameid, place_name, name_key, CASE WHEN close = 1 THEN 'only one' WHEN first_miles IS NOT NULL THEN 'ask' ELSE 'none' END AS how, CASE WHEN close = 1 THEN only_n END AS pick, first_miles, offers FROM places p LEFT JOIN ag USING (geonameid))"""
+
+
+@query("resolve_stations", _w(_STATIONS, _STATION_TEXTS) + """SELECT text, 'no place' AS how, NULL AS ghcn_id, NULL::BIGINT AS miles, NULL AS offers, NULL::BOOLEAN AS far, NULL AS place FROM asked WHERE text = 'N/A'
+  UNION ALL SELECT text, 'named', k.ghcn_id, NULL, NULL, NULL, city FROM known k JOIN stations s ON s.ghcn_id = k.ghcn_id
+  UNION ALL SELECT text, coalesce(how, 'none'), nr.ghcn_id, coalesce(nr.miles, first_miles), CASE WHEN how = 'ask' THEN offers END, CASE WHEN how = 'ask' THEN first_miles > 50 END, place_name
+    FROM known k LEFT JOIN ch ON ch.name_key = lower(text) LEFT JOIN nr ON nr.geonameid = ch.geonameid AND nr.n = pick WHERE k.ghcn_id IS NULL""")
+def resolve_stations(s, d):
+    """A station, or what to ask, for each text that the customers' table gives."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    place = F.concat(F.lit("Supplier#"), F.lpad((1 + k % 130).cast("string"), 9, "0"))
+    code = F.when(k % 8 == 3, "N/A").otherwise(F.concat(F.lit("k"), F.lpad(nation, 3, "0")))
+    text = F.when(k % 4 == 0, F.concat(F.lit("Nation_"), nation)).when(k % 4 == 3, code).otherwise(place)
+    none = F.lit(None).cast("double")
+    asked = ad.table(s, d, "customer").select(text.alias("text"), none.alias("latitude"), none.alias("longitude"))
+    places_ = ad.places(s, d).withColumns({c: F.lit("x") for c in ("admin1_code", "country_code", "country_name")})
+    found = places.resolve_stations(asked, ad.stations(s, d), s.createDataFrame([], "ghcn_id string, alias string"), places_)
+    return found.withColumn("offers", F.array_join("offers", ",")).drop("latitude", "longitude")
+
+
 # --- SQL callers
 
 
