@@ -98,6 +98,7 @@ def register(spark: SparkSession, obs: DataFrame, stations: DataFrame | None = N
     scalars = dict(SCALARS)
     if stations is None:
         del scalars["lookup_station_id"]
+        spark.sql("DROP TEMPORARY FUNCTION IF EXISTS lookup_station_id")  # it would look into an earlier call's stations
     else:
         stations.createOrReplaceTempView(STATIONS)
         (stations.sparkSession.createDataFrame([], "ghcn_id string, alias string") if aliases is None else aliases).createOrReplaceTempView(ALIASES)

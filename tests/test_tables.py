@@ -130,6 +130,9 @@ def test_sql_functions_are_the_operators(spark, tmp_path):
     one = spark.sql("SELECT answer_value('B', 'TMAX', 'max', 'month') AS m, answer_value('B', 'TMAX', 'count', p_operator => '>=', p_threshold => 50) AS c, answer_value('B', 'TMAX', 'mean', 'odd') AS n").first()
     want = periods.buckets(whole, "month", "mean").agg(F.max("value")).first()[0]
     assert one.m == pytest.approx(want) and one.c == whole.filter("value >= 50").count() and one.n is None
+    sql_functions.register(spark, obs, airports(spark))
+    assert spark.sql("SELECT lookup_station_id('k-pdx') AS a, lookup_station_id('Sterling') AS b, lookup_station_id('x') AS c").first() == ("PDX", "IAD", None)
+    sql_functions.register(spark, obs)
     with pytest.raises(Exception, match="lookup_station_id"):
         spark.sql("SELECT lookup_station_id('x')").collect()
 
