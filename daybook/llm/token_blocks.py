@@ -63,6 +63,35 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _eights_packed(values: np.ndarray, w: int) -> np.ndarray:
+    """The low ``w`` bits of rows of values, eight at a time: these are ``w`` bytes, made in two 64-bit words."""
+    n, block = values.shape
+    eights = (values.astype("<u8") & np.uint64((1 << w) - 1)).reshape(n, block // 8, 8)
+    half = [np.zeros((n, block // 8), "<u8") for _ in range(2)]
+    for k in range(8):
+        half[k // 4] |= eights[:, :, k] << np.uint64(k % 4 * w)
+    words = np.empty((n, block // 8, 2), "<u8")
+    if w == 16:
+        words[:, :, 0], words[:, :, 1] = half
+    else:
+        words[:, :, 0], words[:, :, 1] = half[0] | half[1] << np.uint64(4 * w), half[1] >> np.uint64(64 - 4 * w)
+    return np.ascontiguousarray(words.view(np.uint8).reshape(n, block // 8, 16)[:, :, :w]).reshape(n, -1)
+
+
+def _eights_unpacked(rows: np.ndarray, w: int) -> np.ndarray:
+    """The values of which :func:`_eights_packed` made rows of bytes."""
+    n, groups = len(rows), rows.shape[1] // w
+    wide = np.zeros((n, groups, 16), np.uint8)
+    wide[:, :, :w] = rows.reshape(n, groups, w)
+    low, high = np.moveaxis(wide.view("<u8"), 2, 0)
+    mask = np.uint64((1 << w) - 1)
+    half = (low, high) if w == 16 else (low, low >> np.uint64(4 * w) | high << np.uint64(64 - 4 * w))
+    out = np.empty((n, groups, 8), np.uint32)
+    for k in range(8):
+        out[:, :, k] = half[k // 4] >> np.uint64(k % 4 * w) & mask
+    return out.reshape(n, -1)
+
+
 def _pack(ids: np.ndarray, block: int, percentile: float) -> tuple[np.ndarray, ...]:
     n = len(ids)
     blocks = -(-n // block)
@@ -84,6 +113,10 @@ def _pack(ids: np.ndarray, block: int, percentile: float) -> tuple[np.ndarray, .
     for w in np.unique(width):
         if w:
             own = np.nonzero(width == w)[0]
+            if w <= EIGHTS and block % 8 == 0:
+                rows = _eights_packed(diff[own], int(w))
+                out[starts[own].astype(np.int64)[:, None] + np.arange(rows.shape[1])] = rows
+                continue
             narrow = diff[own].astype("u1" if w <= 8 else "<u2" if w <= 16 else "<u4")  # the low bits are all that is packed
             bits = np.unpackbits(narrow.view(np.uint8).reshape(len(own), block, narrow.itemsize), axis=2, bitorder="little")[:, :, :w]
             rows = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
@@ -109,6 +142,9 @@ def _unpack(low: np.ndarray, width: np.ndarray, counts: np.ndarray, starts: np.n
             own = np.nonzero(width == w)[0]
             size = (int(w) * block + 7) // 8
             rows = packed[starts[own].astype(np.int64)[:, None] + np.arange(size)]
+            if w <= EIGHTS and block % 8 == 0:
+                grid[own] = _eights_unpacked(rows, int(w))
+                continue
             bits = np.unpackbits(rows, axis=1, bitorder="little", count=int(w) * block).reshape(len(own), block, int(w))
             wide = np.zeros((len(own), block, 8 * (1 + (int(w) - 1) // 8)), np.uint8)
             wide[:, :, : int(w)] = bits
@@ -146,6 +182,8 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, in
     return ids, got[9].astype(np.int64), unpack(n, *got[:7]), first
 
 
+#: Widths up to this are packed eight values at a time.
+EIGHTS = 16
 #: The split pattern over printable text below U+0250 without the numbers of ODD, in lower case.
 PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[\W_]+")
 PLAIN_END = "\u0250"

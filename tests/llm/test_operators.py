@@ -44,6 +44,15 @@ def test_pack_round_trip(ids):
         token_blocks.read_file(data[:-5] + b"\0" + data[-4:] if data[-5] else data[:-5] + b"\1" + data[-4:])
 
 
+@pytest.mark.parametrize("w", range(1, 17))
+def test_eight_values_at_a_time_are_the_bits_in_a_row(w):
+    values = np.random.default_rng(w).integers(0, 1 << 20, (5, 128), dtype=np.uint32)
+    rows = token_blocks._eights_packed(values, w)
+    bits = np.unpackbits((values.astype("<u4")).view(np.uint8).reshape(5, 128, 4), axis=2, bitorder="little")[:, :, :w]
+    assert (rows == np.packbits(bits.reshape(5, -1), axis=1, bitorder="little")).all()
+    assert (token_blocks._eights_unpacked(rows, w) == values & ((1 << w) - 1)).all()
+
+
 def test_word_memo_is_the_library():
     e = token_blocks.encoder(WORDS)
     rng = random.Random(1)
