@@ -109,6 +109,21 @@ def test_a_thousand_requests_read_the_table_once(spark, tmp_path):
         assert got[k].n == n and (got[k].value == pytest.approx(v) if v is not None else got[k].value is None), asked[k]
 
 
+def test_requests_that_ask_the_same_meet_the_days_once(spark, monkeypatch):
+    obs, met = history(spark, range(2000, 2002)), []
+    days = requests.asked_days
+    monkeypatch.setattr(requests, "asked_days", lambda *a: met.append(days(*a)) or met[-1])
+    how = ["mean", "max", "count", "sum", "median", "min", "stddev"]
+    ask = lambda k, months=None: (k, "A", "TMAX", how[k % 7], ["day", "month"][k % 2], date(2000, 1, 1), date(2001, 12, 31), months, ">=", 50.0, "mean")
+    found = requests.answered(spark.createDataFrame([ask(k) for k in range(2100)] + [ask(2100, [1]), ask(2100)], requests.REQUEST), obs).collect()
+    assert met[0].count() == 2 * 730 + 31 + 31  # two units, and the Januaries
+    assert len(found) == 2102 and len({(r.value, r.n) for r in found if r.request_id < 2100}) == 14
+    for k in range(14):
+        alone = requests.answered(spark.createDataFrame([ask(k)], requests.REQUEST), obs).first()
+        assert {(r.value, r.n) for r in found if r.request_id % 14 == k and r.request_id < 2100} == {(alone.value, alone.n)}
+    assert len({r.n for r in found if r.request_id == 2100}) == 2
+
+
 # --- SQL
 
 
