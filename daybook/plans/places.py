@@ -4,7 +4,7 @@ A place's name is cut at each end of a word: "new york city" is found under "new
 A text is read in a few ways, each a name and what qualifies it, and readings meet the index by equality, so
 there is no search through all places for a text and no loop over texts. Per prefix and qualifier the
 index keeps the one place that would be taken, so a name that very many places share is one row. Equal texts
-are resolved once.
+are folded and resolved once, and only prefixes that a text reads are indexed.
 """
 
 from __future__ import annotations
@@ -50,7 +50,10 @@ def fold_column(text: Column) -> Column:
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
     known = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + "]"
     flat = F.translate(F.when(text.rlike(known), spelled).otherwise(text), one, as_one)
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(flat, "[^\\x00-\\x7F]+", "")), "[\\s\\x0B\\x1C-\\x1F]+", " "))
+    other = "[^\\x00-\\x7F]"
+    # The class of known characters is long: plain texts, the most, don't meet it.
+    plain = F.when(text.rlike(other), F.regexp_replace(flat, other + "+", "")).otherwise(text)
+    return F.trim(F.regexp_replace(F.lower(plain), "[\\s\\x0B\\x1C-\\x1F]+", " "))
 
 
 def names_no_place(folded: Column) -> Column:
@@ -72,14 +75,14 @@ def _marks() -> Column:
     return F.array_distinct(F.filter(F.concat(own, other), lambda x: x.isNotNull() & (x != "")))
 
 
-def index(places: DataFrame) -> DataFrame:
-    """(prefix, rank, place, marks): a row for each word's end of each place's name."""
+def index(places: DataFrame, names: DataFrame) -> DataFrame:
+    """(prefix, rank, place, marks): a row for each word's end of each place's name that is one of ``names`` (name)."""
     key = F.col("name_key")
     ends = F.filter(F.sequence(F.lit(1), F.length(key)), lambda i: (i == F.length(key)) | F.substring(key, i + 1, F.lit(1)).isin(" ", ","))
-    rows = places.filter(key != "").select(F.struct(*PLACE).alias("place"), _marks().alias("marks"), key.alias("key"), F.explode(ends).alias("end"))
-    prefix, exact = F.substring("key", F.lit(1), F.col("end")), F.col("end") == F.length("key")
-    rank = F.struct(exact.alias("exact"), F.coalesce("place.population", F.lit(-1).cast("long")).alias("people"), (-F.col("place.geonameid")).alias("id"))
-    return rows.select(prefix.alias("prefix"), rank.alias("rank"), "place", "marks")
+    rows = places.filter(key != "").withColumn("end", F.explode(ends)).withColumn("prefix", F.substring(key, F.lit(1), F.col("end")))
+    rows = rows.join(names.select(F.col("name").alias("prefix")).distinct(), "prefix", "left_semi")
+    rank = F.struct((F.col("end") == F.length(key)).alias("exact"), F.coalesce("population", F.lit(-1).cast("long")).alias("people"), (-F.col("geonameid")).alias("id"))
+    return rows.select("prefix", rank.alias("rank"), F.struct(*PLACE).alias("place"), _marks().alias("marks"))
 
 
 def readings(texts: DataFrame) -> DataFrame:
@@ -98,7 +101,8 @@ def readings(texts: DataFrame) -> DataFrame:
 
 def _met(texts: DataFrame, places: DataFrame) -> DataFrame:
     """(text, reading, rank, place) of each text (distinct, with folded) that means a place."""
-    found, read = index(places), readings(texts)
+    read = readings(texts)
+    found = index(places, read)
     best = F.max_by(F.struct("rank", "place"), "rank").alias("b")
     by_mark = found.select("prefix", F.explode("marks").alias("mark"), "rank", "place", "marks")
     top = found.groupBy("prefix").agg(best).withColumn("mark", F.lit("")).unionByName(by_mark.groupBy("prefix", "mark").agg(best))
@@ -111,8 +115,10 @@ def _met(texts: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _distinct(texts: DataFrame, text_col: str) -> DataFrame:
-    # Folded below the aggregation, so that what stands above it doesn't fold again for each use.
-    return texts.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), fold_column(F.col(text_col)).alias("folded")).distinct()
+    # Folded above the aggregation: a fold costs far more than a row. Nothing above filters by the folded
+    # text, which would bring the fold down again.
+    each = texts.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
+    return each.withColumn("folded", fold_column(F.col("text")))
 
 
 def resolve_places(texts: DataFrame, places: DataFrame, text_col: str = "text") -> DataFrame:
@@ -164,17 +170,19 @@ def resolve_stations(requests: DataFrame, stations: DataFrame, aliases: DataFram
     """
     rid = F.sha2(F.to_json(F.struct("text", "latitude", "longitude")), 256)
     asked = requests.select("text", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"))
-    asked = asked.withColumns({"rid": rid, "folded": fold_column(F.col("text"))}).distinct()
+    asked = asked.distinct().withColumns({"rid": rid, "folded": fold_column(F.col("text"))})
     empty = {"miles": F.lit(None).cast("long"), "offers": F.lit(None).cast("array<string>"), "far": F.lit(None).cast("boolean")}
     out = ["text", "latitude", "longitude", "how", "ghcn_id", "miles", "offers", "far", "place"]
-    lost = names_no_place(F.col("folded"))
-    nothing = asked.filter(lost).withColumns({"how": F.lit("no place"), "ghcn_id": F.lit(None).cast("string"), "place": F.lit(None).cast("string"), **empty}).select(*out)
 
     known = station_keys(stations, aliases).withColumnRenamed("city", "place")
-    # Written, since much follows from it: each use would plan and do all this again.
-    met = kept(asked.filter(~lost).withColumn("key", lookup_key(F.col("text"))).join(known, "key", "left"), "requests")
+    # Written, since much follows from it: each use would plan and do all this again. A filter by the folded text before
+    # that would go below the aggregation, and fold every row.
+    keyed = asked.withColumn("lost", names_no_place(F.col("folded"))).withColumn("key", F.when(~F.col("lost"), lookup_key(F.col("text"))))
+    met = kept(keyed.join(known, "key", "left"), "requests")
+    nothing = met.filter("lost").drop("ghcn_id", "place").withColumns({"how": F.lit("no place"), "ghcn_id": F.lit(None).cast("string"), "place": F.lit(None).cast("string"), **empty}).select(*out)
+
     named = met.filter("ghcn_id IS NOT NULL").withColumns({"how": F.lit("named"), **empty}).select(*out)
-    wanted = met.filter("ghcn_id IS NULL").select("rid", "text", "latitude", "longitude", "folded")
+    wanted = met.filter("NOT lost AND ghcn_id IS NULL").select("rid", "text", "latitude", "longitude", "folded")
 
     several = _shared(wanted, places)
     single = _met(wanted.select("text", "folded").distinct(), places).select("text", "place.*")

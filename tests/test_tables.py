@@ -80,6 +80,31 @@ def test_a_table_of_requests_for_stations(spark):
     }
 
 
+def test_equal_texts_are_folded_once(spark, monkeypatch):
+    n, fold = spark.sparkContext.accumulator(0), stations.fold
+
+    def counted(text):
+        n.add(1)
+        return None if text is None else fold(text)
+
+    monkeypatch.setattr(places, "fold_column", F.udf(counted, "string"))
+    texts = spark.range(3000).select(F.element_at(F.array(*[F.lit(t) for t in ("Vienna", "Paris, Texas", "n/a")]), (F.col("id") % 3 + 1).cast("int")).alias("text"))
+    towns, aliases = spark.createDataFrame(TOWNS, PLACES), spark.createDataFrame([], "ghcn_id string, alias string")
+    assert places.resolve_places(texts, towns).filter("geonameid IS NOT NULL").count() == 2000
+    assert 0 < n.value <= 100
+    none = F.lit(None).cast("double")
+    asked = texts.select("text", none.alias("latitude"), none.alias("longitude"))
+    assert places.resolve_stations(asked, airports(spark), aliases, towns).select("text").distinct().count() == 3
+    assert n.value <= 200
+
+
+def test_prefixes_that_no_text_reads_are_not_indexed(spark):
+    names = spark.createDataFrame([("new",), ("paris",), ("new",)], "name string")
+    got = places.index(spark.createDataFrame(TOWNS, PLACES), names).collect()
+    assert {r.prefix for r in got} == {"new", "paris"}
+    assert sorted(r.place.geonameid for r in got) == sorted(t[0] for t in TOWNS for name in ("new", "paris") if t[2] == name or t[2].startswith((name + " ", name + ",")))
+
+
 # --- requests
 
 
