@@ -32,6 +32,7 @@ import json
 import re
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -186,11 +187,15 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, in
 EIGHTS = 16
 #: The split pattern over printable text below U+0250 without the numbers of ODD, in lower case.
 PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[\W_]+")
-PLAIN_END = "\u0250"
 ODD = re.compile("[\xb2\xb3\xb9\xbc-\xbe]")
+#: From U+0250 on, or in lower case so.
+NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]")
+#: Pieces without a letter are kept apart while there are at most so many.
+MARKS = 4096
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
 BYTE_CHARS = {b: b for b in _SELF} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_SELF))}
+BYTE_TABLE = "".join(chr(BYTE_CHARS[b]) for b in range(256))
 
 
 class Encoder(dict):
@@ -201,7 +206,8 @@ class Encoder(dict):
     normalizer, splitter and model once a worker (this dictionary, from a word to its
     packed ids, and the half that it replaced when it was full are bounded in bytes; a rare
     word and the comma or stop behind it are looked up apart). For printable text below U+0250 the
-    normalizer only lowers letters, and the split is that of ``PLAIN_PIECES``, so the
+    normalizer only lowers letters, and the split is that of ``PLAIN_PIECES``, so such texts are
+    lowered whole, which leaves fewer distinct words, and the
     pieces of such words go straight to the model. Words that hold a special token's opening, and all texts of other
     tokenizers, are encoded by the library in one call.
     """
@@ -221,13 +227,28 @@ class Encoder(dict):
         self.by_word = splits_at_space(config)
         special = [re.escape(t["content"].encode()) for t in config.get("added_tokens", [])]
         self.special = re.compile(b"|".join(special) or b"(?!)").search
+        self.special_lower = [t["content"].lower() for t in config.get("added_tokens", [])]
+        self.lowers = lowers(config)
+        self.marks = {}
         self.letters_are_plain = not any(t["content"].isalpha() for t in config.get("added_tokens", []))
         # A mark of these after a letter is a piece of its own, and no special token holds one.
         self.trail = frozenset(b",.;:!?") - frozenset(b"".join(t["content"].encode() for t in config.get("added_tokens", [])))
 
     def piece(self, piece: str) -> bytes:
         """The ids of what the splitter gave, before the byte-level alphabet."""
-        known = self.library.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS))
+        if not piece[0].isalpha():
+            ids = self.marks.get(piece)
+            if ids is None:
+                ids = self.by_model(piece)
+                if len(self.marks) < MARKS and len(piece) <= MEMO_CHARS:
+                    self.marks[piece] = ids
+            return ids
+        # Letters in lower case have the ids of the word that they would be alone.
+        ids = self.get(piece.encode()) if self.letters_are_plain else None
+        return self.by_model(piece) if ids is None else ids
+
+    def by_model(self, piece: str) -> bytes:
+        known = self.library.model.tokenize(piece if piece.isascii() else charmap_decode(piece.encode(), "strict", BYTE_TABLE)[0])
         return b"".join([self.packed[t.id] for t in known])
 
     def __missing__(self, word: bytes) -> bytes:
@@ -252,7 +273,7 @@ class Encoder(dict):
         """The ids of a word by the library."""
         text = word.decode()
         lower = text.lower()
-        low = word.isascii() or (max(text) < PLAIN_END and max(lower) < PLAIN_END)
+        low = word.isascii() or not NOT_PLAIN.search(text)
         if low and lower.isalpha() and self.letters_are_plain:
             ids = self.piece(lower)
         elif self.special(word):
@@ -270,7 +291,14 @@ class Encoder(dict):
             found = self.library.encode_batch(texts, add_special_tokens=False)
             return [np.array(x.ids, "<u4").tobytes() + last for x in found]
         # Split at ASCII white space; the library splits at the rest.
-        return [b"".join(map(self.__getitem__, t.encode().split())) + last for t in texts]
+        return [b"".join(map(self.__getitem__, self.lowered(t).encode().split())) + last for t in texts]
+
+    def lowered(self, text: str) -> str:
+        """The text in lower case where that changes none of its ids, else as it is."""
+        if not self.lowers or not (text.isascii() or not NOT_PLAIN.search(text)):
+            return text
+        lower = text.lower()
+        return text if any(t in lower for t in self.special_lower) else lower
 
 
 def splits_at_space(config: dict) -> bool:
@@ -288,6 +316,12 @@ def splits_at_space(config: dict) -> bool:
     return plain and split and rest and model and added
 
 
+def lowers(config: dict) -> bool:
+    """Whether the tokenizer file says that letters are lowered."""
+    normal = config.get("normalizer") or {}
+    return any(s["type"] == "Lowercase" for s in normal.get("normalizers", [normal] if normal else []))
+
+
 def encoder(path: str) -> Encoder:
     """The tokenizer at ``path``, kept in a worker until another stage wants something else."""
     return held(("words", path), lambda: Encoder(path))

@@ -53,6 +53,16 @@ def test_eight_values_at_a_time_are_the_bits_in_a_row(w):
     assert (token_blocks._eights_unpacked(rows, w) == values & ((1 << w) - 1)).all()
 
 
+def test_words_in_any_case_are_merged_once(monkeypatch):
+    e, made = token_blocks.Encoder(WORDS), []
+    whole = token_blocks.Encoder.made
+    monkeypatch.setattr(token_blocks.Encoder, "made", lambda self, word: made.append(word) or whole(self, word))
+    texts = ["Straßenhäuser straßenhäuser STRAßENHÄUSER", "Straßenhäuser-12%%%", "\u0130x \u023a \u212a STRASSE", "<|ENDOFTEXT|> Ab", "a<|endoftext|>B ab", "\xc9T\xc9 \xe9t\xe9, \xb2x \x01Y"]
+    got = e.encode(texts, 2)
+    assert [np.frombuffer(x, "<u4").tolist()[:-1] for x in got] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+    assert len([w for w in made if w.decode().lower() == "straßenhäuser"]) == 1
+
+
 def test_word_memo_is_the_library():
     e = token_blocks.encoder(WORDS)
     rng = random.Random(1)
